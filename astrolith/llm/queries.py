@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, neighbours, packing, quality, secrets, simhash, sstable
+from . import bpe, exact_dedup, language, neighbours, packing, quality, sanitise, secrets, simhash, sstable
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.query,
     "op6_best_fit_packing": packing.query,
     "op7_quality_rules": quality.query,
+    "op8_pii_sanitise": sanitise.query,
     "op9_secret_scan": secrets.query,
     "op10_byte_bpe": bpe.query,
 }
