@@ -125,7 +125,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["vec_id", "neighbour_id", "distance"])
 
     blocks, cells = max(1, -(-n // QUERY_ROWS)), max(1, -(-n // SHARD_ROWS))
-    grid = queries.select(F.col("part").alias("q"), F.col("blob").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long").alias("part")).join(shards, "part").repartition(min(blocks * cells, 1 << 16), "q", "part").select("query", "part", "blob")
+    grid = queries.select(F.col("part").alias("q"), F.col("blob").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("part")).join(shards, "part").repartition(min(blocks * cells, 1 << 16), "q", "part").select("query", "part", "blob")
     found = grid.mapInArrow(run, "vec_id long, neighbour_id long, distance double")
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
