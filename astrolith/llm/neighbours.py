@@ -27,49 +27,82 @@ THRESHOLD = 0.57
 GROWTH = 1.12
 #: Vectors to a shard, which has sorted arrays of its own, and queries to a task.
 SHARD_ROWS, QUERY_ROWS = 1 << 16, 1 << 11
+#: Vectors whose collisions are counted at once.
+BLOCK_ROWS = 1 << 13
 
 
 class Shard:
-    """Sorted projections of one shard's vectors."""
+    """Sorted projections of one shard's vectors, and the place of each vector in each of them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 11):
         self.ids, self.vectors = ids, vectors
+        n = len(ids)
         self.a = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections)).astype(np.float32)
-        p = (vectors @ self.a).T
-        self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(p, self.order, 1)
-        self.spread = float(np.sqrt(((vectors - vectors.mean(0)) ** 2).sum(1).mean())) if len(vectors) else 0.0
-        self.norms = (vectors.astype(np.float32) ** 2).sum(1)
-
-    def search(self, own: int | None, vector: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The (distance, identifier) of up to k nearest vectors, without identifier own."""
+        p = np.ascontiguousarray((vectors @ self.a).T)
+        order = np.argsort(p, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(p, order, 1)
+        self.kind = np.uint16 if n < 1 << 16 else np.uint32
+        place = np.empty(p.shape, self.kind)
+        np.put_along_axis(place, order, np.arange(n, dtype=self.kind)[None], 1)
+        # blocks of vectors whose places fit a cache
+        self.blocks = [np.ascontiguousarray(place[:, i : i + BLOCK_ROWS]) for i in range(0, n, BLOCK_ROWS)]
+        self.norms = (vectors**2).sum(1)
+        self.start = self._start() if n else 1e-12
+
+    def _start(self) -> float:
+        """A radius that few queries end below, by the nearest neighbours of evenly spaced vectors."""
+        some = self.vectors[:: max(1, len(self.vectors) // 64)]
+        d = np.maximum((some**2).sum(1)[:, None] + self.norms[None] - 2 * some @ self.vectors.T, 0)
+        k = min(K, len(self.vectors) - 1)
+        return max(float(np.sqrt(np.quantile(np.partition(d, k, axis=1)[:, k], 0.1))), 1e-12)
+
+    def collisions(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """In how many arrays each vector lies in the window lo to hi of places."""
+        out = np.empty(len(self.ids), np.uint8)
+        lo, width = lo.astype(self.kind)[:, None], (hi - lo).astype(self.kind)[:, None]
+        full = (hi - lo) > np.iinfo(self.kind).max
+        for k, block in enumerate(self.blocks):
+            inside = (block - lo) < width
+            if full.any():
+                inside[full] = True
+            out[k * BLOCK_ROWS : k * BLOCK_ROWS + block.shape[1]] = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return out
+
+    def search_all(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+        """For each query the (distance, identifier) of up to k nearest vectors, without its own identifier."""
+        out: list[list[tuple[float, int]]] = []
+        for i in range(0, len(queries), 64):
+            out += self._search(own[i : i + 64], queries[i : i + 64], k)
+        return out
+
+    def _search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
         n, m = len(self.ids), len(self.sorted)
-        p = vector @ self.a
-        start = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, p, strict=True)])
-        lo, hi = start.copy(), start.copy()
-        counts, need = np.zeros(n, np.int32), int(np.ceil(THRESHOLD * m))
-        distance = np.full(n, np.inf, np.float32)
-        mine = self.ids == own if own is not None else np.zeros(n, bool)
+        need = int(np.ceil(THRESHOLD * m))
+        p, norms = queries @ self.a, (queries**2).sum(1)
+        distance = np.full((len(own), n), np.inf, np.float32)
+        mine = self.ids[None] == own[:, None]
         distance[mine] = np.nan
-        radius, norm = max(self.spread * 0.25, 1e-12), float((vector**2).sum())
-        want = min(k, int(n - mine.sum()))
-        while True:
-            a = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, p - HALF_WIDTH * radius, strict=True)])
-            b = np.array([np.searchsorted(s, x, "right") for s, x in zip(self.sorted, p + HALF_WIDTH * radius, strict=True)])
-            fresh = [o[x:y] for o, x, y in zip(self.order, a, lo, strict=True) if x < y] + [o[x:y] for o, x, y in zip(self.order, hi, b, strict=True) if x < y]
-            lo, hi = np.minimum(a, lo), np.maximum(b, hi)
-            if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-                new = np.flatnonzero((counts >= need) & np.isposinf(distance))
-                if len(new):
-                    distance[new] = np.sqrt(np.maximum(self.norms[new] + norm - 2 * (self.vectors[new] @ vector), 0))
-            near = np.flatnonzero(distance <= radius)
-            if len(near) >= want or ((hi - lo) >= n).all():
-                break
-            radius *= GROWTH
-        known = near if len(near) >= want else np.flatnonzero(np.isfinite(distance))
-        best = known[np.lexsort((self.ids[known], distance[known]))[:k]]
-        return [(float(distance[i]), int(self.ids[i])) for i in best]
+        want = np.minimum(k, n - mine.sum(1))
+        out: list[list[tuple[float, int]]] = [[] for _ in own]
+        live, radius = np.flatnonzero(want > 0), self.start
+        while len(live):
+            reach = HALF_WIDTH * radius
+            lo = np.stack([np.searchsorted(s, x) for s, x in zip(self.sorted, p[live].T - reach, strict=True)], 1)
+            hi = np.stack([np.searchsorted(s, x, "right") for s, x in zip(self.sorted, p[live].T + reach, strict=True)], 1)
+            going = []
+            for at, q in enumerate(live.tolist()):
+                d = distance[q]
+                new = np.flatnonzero((self.collisions(lo[at], hi[at]) >= need) & np.isposinf(d))
+                d[new] = np.sqrt(np.maximum(self.norms[new] + norms[q] - 2 * (self.vectors[new] @ queries[q]), 0))
+                near = np.flatnonzero(d <= radius)
+                if len(near) >= want[q] or ((hi[at] - lo[at]) >= n).all():
+                    known = near if len(near) >= want[q] else np.flatnonzero(np.isfinite(d))
+                    best = known[np.lexsort((self.ids[known], d[known]))[:k]]
+                    out[q] = [(float(d[j]), int(self.ids[j])) for j in best]
+                else:
+                    going.append(q)
+            live, radius = np.array(going, np.int64), radius * GROWTH
+        return out
 
 
 def _rows(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +153,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 if s != now:
                     shard, now = Shard(*_rows(data.as_py(), width), projections), s
                 ids, own = _rows(q.as_py(), width)
-                found = [(i, j, d) for i, v in zip(ids.tolist(), own, strict=True) for d, j in shard.search(i, v, k)]
+                found = [(i, j, d) for i, near in zip(ids.tolist(), shard.search_all(ids, own, k), strict=True) for d, j in near]
                 a, c, d = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["vec_id", "neighbour_id", "distance"])
 
