@@ -6,11 +6,14 @@ are applied or none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEEP_TRANSACTIONS = 50
-_ORDER = Window.partitionBy("file").orderBy("start", "end", "k")
+
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("file").orderBy("start", "end", "k")
 
 
 def locate(edits: DataFrame, files: DataFrame) -> DataFrame:
@@ -32,14 +35,14 @@ def locate(edits: DataFrame, files: DataFrame) -> DataFrame:
 
 def overlaps(edits: DataFrame) -> DataFrame:
     """(file, k) of edits that begin before an earlier one of their file has ended."""
-    reach = F.max("end").over(_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("end").over(_order().rowsBetween(Window.unboundedPreceding, -1))
     return edits.withColumn("_r", reach).where("start < _r").select("file", "k")
 
 
 def shifted(edits: DataFrame) -> DataFrame:
     """edits with new_start and new_end: where each replacement lies once all of its file are applied."""
     delta = F.octet_length("new") - (F.col("end") - F.col("start"))
-    before = F.coalesce(F.sum(delta).over(_ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(delta).over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = F.col("start") + before
     return edits.withColumn("new_start", start).withColumn("new_end", F.col("new_start") + F.octet_length("new"))
 
