@@ -102,11 +102,12 @@ def language(file: Column, text: Column) -> Column:
         F.when(text.rlike(r"^[^\n]*\n?[^\n]*<\?xml version="), F.array(F.lit("XML"))).otherwise(none),
         F.when(paths.basename(file).rlike(_MANPAGE), F.array(F.lit("Roff Manpage"), F.lit("Roff"))).otherwise(none),
     ]
-    state = none
-    for s in strategies:
+
+    def narrowed(state: Column, s: Column) -> Column:
         both = F.array_intersect(state, s)
-        state = F.when(F.size(state) == 1, state).when(F.size(s) == 0, state).when(F.size(state) == 0, s).otherwise(F.when(F.size(both) > 0, both).otherwise(state))
-    return F.get(state, F.lit(0))
+        return F.when((F.size(state) == 1) | (F.size(s) == 0), state).when(F.size(state) == 0, s).when(F.size(both) > 0, both).otherwise(state)
+
+    return F.get(F.aggregate(F.array(*strategies), none, narrowed), F.lit(0))
 
 
 def classify(files: DataFrame) -> DataFrame:
