@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import free, written
+
 MEMTABLE_ROWS = 1 << 16
-#: Runs in the index before compaction merges them.
+#: Runs of a level that compaction merges into one of the next level.
 MAX_RUNS = 8
 _K = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 
@@ -67,7 +69,7 @@ class Index:
     def __init__(self, memtable_rows: int = MEMTABLE_ROWS, max_runs: int = MAX_RUNS):
         self.limit, self.max_runs = memtable_rows, max_runs
         self.table: dict[tuple[int, int], int] = {}
-        self.runs: list[Run] = []
+        self.levels: list[list[Run]] = [[]]
         self.hits: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, ids: np.ndarray) -> None:
@@ -75,9 +77,10 @@ class Index:
             self._add(keys[i : i + self.limit], ids[i : i + self.limit])
 
     def _add(self, keys: np.ndarray, ids: np.ndarray) -> None:
-        for run in self.runs:
+        for run in (r for level in self.levels for r in level):
             at = run.find(keys)
             hit = at >= 0
+            hit[hit] = run.ids[at[hit]] != ids[hit]
             if hit.any():
                 self.hits.append((keys[hit], ids[hit]))
                 self.hits.append((keys[hit], run.ids[at[hit]]))
@@ -98,28 +101,32 @@ class Index:
 
     def flush(self) -> None:
         if self.table:
-            self.runs.append(Run(*_smallest(np.array(list(self.table), _K), np.fromiter(self.table.values(), np.int64, len(self.table)))))
+            self.levels[0].append(Run(*_smallest(np.array(list(self.table), _K), np.fromiter(self.table.values(), np.int64, len(self.table)))))
             self.table = {}
-        if len(self.runs) > self.max_runs:
-            self.runs = [merge(self.runs)]
-
-    def close(self) -> tuple[np.ndarray, np.ndarray]:
-        """(digests, identifiers) of all hits, each pair once, without digests of one identifier."""
-        self.flush()
+        level = 0
+        while len(self.levels[level]) >= self.max_runs:
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(merge(self.levels[level]))
+            self.levels[level] = []
+            level += 1
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """(digests, identifiers) of the hits since the last call, each pair once."""
         if not self.hits:
             return np.zeros(0, _K), np.zeros(0, np.int64)
         keys, ids = np.concatenate([k for k, _ in self.hits]), np.concatenate([i for _, i in self.hits])
+        self.hits = []
         order = np.lexsort((ids, keys["lo"], keys["hi"]))
         keys, ids = keys[order], ids[order]
         once = np.ones(len(keys), bool)
         once[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        keys, ids = keys[once], ids[once]
-        alone = np.ones(len(keys), bool)
-        if len(keys) > 1:
-            same = keys[1:] == keys[:-1]
-            alone[1:] &= ~same
-            alone[:-1] &= ~same
-        return keys[~alone], ids[~alone]
+        return keys[once], ids[once]
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """(digests, identifiers) of the hits that are left."""
+        self.flush()
+        return self.take()
 
 
 def _keys(digests: pa.Array) -> np.ndarray:
@@ -128,12 +135,16 @@ def _keys(digests: pa.Array) -> np.ndarray:
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = Index()
+
+    def rows(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        raw = keys.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(ids, pa.int64())], ["digest", "doc_id"])
+
     for b in batches:
         if b.num_rows:
             index.add(_keys(b.column(0)), b.column(1).to_numpy(zero_copy_only=False))
-    keys, ids = index.close()
-    raw = keys.tobytes()
-    yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(ids, pa.int64())], ["digest", "doc_id"])
+            yield rows(*index.take())
+    yield rows(*index.close())
 
 
 def digest(text: str) -> F.Column:
@@ -148,12 +159,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are equal to each other; rows that repeat one identifier with one text are one document. One identifier with
     several texts takes part with each. An empty table gives no rows; further columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    keyed = rows.withColumn("digest", digest("text"))
-    hits = keyed.select("digest", "doc_id").repartition("digest").mapInArrow(_hits, "digest binary, doc_id long")
-    members = keyed.join(hits.hint("shuffle_hash"), ["digest", "doc_id"], "left_semi")
-    groups = members.groupBy("digest", "text").agg(F.min("doc_id").alias("kept_id"), F.collect_set("doc_id").alias("ids"))
-    return groups.where(F.size("ids") > 1).select(F.explode("ids").alias("doc_id"), "kept_id").where("doc_id <> kept_id")
+    return _listed(docs, id_col, text_col).select("doc_id", "kept_id")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,13 +168,28 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A row goes only if both its identifier and its text are listed, so that an identifier that is used for several texts
     keeps the other ones. Null identifiers and null texts stay.
     """
+    gone_id, gone_digest = free(docs, "gone_id"), free(docs, "gone_digest")
+    gone = _listed(docs, id_col, text_col).select(F.col("digest").alias(gone_digest), F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col(gone_id)) & (digest(text_col) == F.col(gone_digest)), "left_anti")
+
+
+def _listed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(digest, doc_id, kept_id) of duplicates.
+
+    Hits are verified by their bytes: the least and the largest text of a digest are equal if all are. Groups hold no lists, so that one of any
+    size fits; a digest of several texts, if there ever is one, is split by text.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     keyed = rows.withColumn("digest", digest("text"))
-    hits = keyed.select("digest", "doc_id").repartition("digest").mapInArrow(_hits, "digest binary, doc_id long")
+    hits = written(keyed.select("digest", "doc_id").repartition("digest").mapInArrow(_hits, "digest binary, doc_id long"), "hits")
     members = keyed.join(hits.hint("shuffle_hash"), ["digest", "doc_id"], "left_semi")
-    groups = members.groupBy("digest", "text").agg(F.min("doc_id").alias("kept_id"), F.collect_set("doc_id").alias("ids"))
-    gone = groups.where(F.size("ids") > 1).select("digest", F.explode("ids").alias("gone_id"), "kept_id").where("gone_id <> kept_id").select(F.col("digest").alias("gone_digest"), "gone_id").distinct()
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col("gone_id")) & (digest(text_col) == F.col("gone_digest")), "left_anti")
+    groups = written(members.groupBy("digest").agg(F.min("doc_id").alias("kept_id"), (F.min("text") == F.max("text")).alias("same")), "groups")
+    found = hits.join(groups.where("same"), "digest").select("digest", "doc_id", "kept_id")
+    mixed = groups.where("NOT same").select("digest")
+    if not mixed.isEmpty():
+        texts = members.join(mixed, "digest", "left_semi").distinct()
+        found = found.union(texts.join(texts.groupBy("digest", "text").agg(F.min("doc_id").alias("kept_id")), ["digest", "text"]).select("digest", "doc_id", "kept_id"))
+    return found.where("doc_id <> kept_id").distinct()
 
 
 ORACLE = """

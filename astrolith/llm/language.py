@@ -118,8 +118,9 @@ def fit(texts: list[str], labels: list[str], centroids: int = CENTROIDS, dimensi
 
 def sample(docs: DataFrame, fit_rows: int, text_col: str, label_col: str, id_col: str) -> tuple[list[str], list[str]]:
     """At most fit_rows labelled rows, those with the smallest hashes of the identifier: the same ones at each run."""
-    ids = docs.where(F.col(label_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("sample_id")).orderBy("h", "sample_id").limit(fit_rows)
-    rows = docs.join(F.broadcast(ids.select("sample_id").distinct()), F.col(id_col) == F.col("sample_id")).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, label_col).orderBy(id_col, text_col).limit(fit_rows).collect()
+    own = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label IS NOT NULL")
+    ids = own.select(F.xxhash64("sample_id").alias("h"), "sample_id").orderBy("h", "sample_id").limit(fit_rows).select("sample_id").distinct()
+    rows = own.where("text IS NOT NULL").join(F.broadcast(ids), "sample_id").orderBy("sample_id", "text").limit(fit_rows).collect()
     return [r[1] for r in rows], [str(r[2]) for r in rows]
 
 

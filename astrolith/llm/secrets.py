@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import free
+
 WINDOW = 160
 _NAMED = r"(?i:(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_.-])*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)\s*(?:=|:(?!//)|:=|=>)\s*)"
 SECRET = [
@@ -132,11 +134,12 @@ def _sha(value: str) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW) -> DataFrame:
     """docs, with each reported secret replaced by [SECRET] and count_col, if there, set to the new length. Other rows don't change."""
-    spans = scan(docs, id_col, text_col, window).groupBy(F.col("doc_id").alias("_spans_of")).agg(F.collect_list(F.struct("start", "stop", "value_sha256")).alias("_spans"))
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_spans_of"), "left").drop("_spans_of")
+    spans_of, spans = free(docs, "spans_of"), free(docs, "spans")
+    found = scan(docs, id_col, text_col, window).groupBy(F.col("doc_id").alias(spans_of)).agg(F.collect_list(F.struct("start", "stop", "value_sha256")).alias(spans))
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col(spans_of), "left").drop(spans_of)
     names = docs.columns
-    changed = joined.where("_spans IS NOT NULL").mapInArrow(_redacted(names.index(text_col), names.index(count_col) if count_col in names else None, len(names), names), docs.schema)
-    return joined.where("_spans IS NULL").drop("_spans").union(changed)
+    changed = joined.where(F.col(spans).isNotNull()).mapInArrow(_redacted(names.index(text_col), names.index(count_col) if count_col in names else None, len(names), names), docs.schema)
+    return joined.where(F.col(spans).isNull()).drop(spans).union(changed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
