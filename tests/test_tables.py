@@ -147,3 +147,37 @@ def test_read_state_stream(spark, tmp_path):
 def test_activity_windows(spark):
     e = spark.createDataFrame([(datetime(2024, 1, 1, 0, 5), "x"), (datetime(2024, 1, 1, 0, 50), "x"), (datetime(2024, 1, 1, 1, 0), "x")], "ts timestamp_ntz, section string")
     assert [(r.window_start, r.n) for r in refresh.activity(e).orderBy("window_start").collect()] == [(datetime(2024, 1, 1, 0), 2), (datetime(2024, 1, 1, 1), 1)]
+
+
+def test_reports(spark, tmp_path):
+    from astrolith.plans import reports
+
+    tree = {"app.py": "from core import run\nimport requests\nrequests.get('x')\nrun()\n", "core.py": "def run():\n    '''Doc.'''\n    return helper()\n\n\nclass K:\n    def m(self): return run()\n", "lonely.py": "x = 1\n", "go.mod": "module x", "Dockerfile": "FROM x"}
+    t = reports.build_tables(store(spark, tree))
+    assert sorted((r.path, r.kind, r.parent) for r in t["symbols"].collect()) == [("core.K", "class", None), ("core.K.m", "method", "core.py#1"), ("core.run", "function", None)]
+    assert [(r.path, r.ref_kind) for r in lookup.callers(t["refs"], t["symbols"], "core.run").orderBy("path").collect()] == [("core.K", "name")] * 0 + [("core.K.m", "name")]
+    assert [tuple(r) for r in t["edges"].collect()] == [("app.py", "core.py")]
+    deps = spark.createDataFrame([("requests",), ("flask",)], "name string")
+    found = reports.audit(spark, t, deps)
+    assert sorted((r.section, r.detail, r.severity) for r in found.collect()) == [("orphans", "dead code", "warning"), ("side_effects", "requests.get", "error"), ("side_effects", "run", "warning"), ("unused_deps", "flask", "warning")]
+    m = reports.project_map(t, config.ProjectConfig(thresholds={"hotspots": (1, 5, 9)}))
+    assert [tuple(r) for r in m["hotspots"].collect()] == [("core.py", 1, "info")] and m["cycles"].count() == 0 and m["summary"].first().orphans == 1
+    rows = {r.file: r for r in reports.dump(t).collect()}
+    assert [(u.name, u.used_by) for u in rows["core.py"].usage] == [("K", []), ("run", ["app.py"])]
+    reports.write_json(reports.dump(t), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 3
+    assert {r.section: r.text for r in reports.ignore_config(found).collect()}["side_effects"] == 'ignore = ["requests.get", "run"]'
+    assert sorted(r.file for r in reports.config_files(t["files"]).collect()) == ["Dockerfile"]
+
+
+def test_layout(spark):
+    from astrolith.operators import layout
+
+    text = "import os\n# about f\n@deco\ndef f():\n    pass\nclass A:\n\n    x = 1\n    def m(self): ...\n\n\n    def n(self): ...\n"
+    want = "import os\n\n\n# about f\n@deco\ndef f():\n    pass\n\n\nclass A:\n\n    x = 1\n\n    def m(self): ...\n\n    def n(self): ...\n"
+    assert layout.normalised(text) == want == layout.normalised(want) and layout.normalised("") == ""
+    df = spark.createDataFrame([("a\nb\n", "a\nc\n", "f.py"), (None, None, None)], "a string, b string, n string")
+    got = [r.d for r in df.select(layout.unified_udf("a", "b", "n").alias("d")).collect()]
+    assert got == ["--- a/f.py\n+++ b/f.py\n@@ -1,2 +1,2 @@\n a\n-b\n+c", ""]
+    assert layout.unified("a\n", "b\n", most=2).endswith("... 3 more lines")
+    assert [r.d for r in df.select(layout.normalised_udf("a").alias("d")).collect()] == ["a\nb\n", None]
