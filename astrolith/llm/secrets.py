@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import free
+from .session import free, written
 
 WINDOW = 160
 _NAMED = r"(?i:(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_.-])*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)\s*(?:=|:(?!//)|:=|=>)\s*)"
@@ -91,9 +91,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     never leaves the scan. Null texts and null identifiers have no rows; rows that repeat are reported once; a document that several rows with the same identifier and different texts share
     is scanned in each. An empty table gives no rows.
     """
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_scan, PARTS).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # three uses follow: the texts are read once, and the parts, without their values, are kept
+    found = written(rows.mapInArrow(_scan, PARTS).withColumn("value_sha256", F.sha2("value", 256)).drop("value"), "parts").distinct()
     # places are put into buckets of the window's width: a part within reach is in the same one or a neighbour
-    secrets = found.where("role = 'secret'").drop("role").withColumns({"value_sha256": F.sha2("value", 256), "lo": F.floor(F.col("start") / window) - 1, "hi": F.floor(F.col("stop") / window) + 1}).drop("value")
+    secrets = found.where("role = 'secret'").drop("role").withColumns({"lo": F.floor(F.col("start") / window) - 1, "hi": F.floor(F.col("stop") / window) + 1})
     others = found.where("role <> 'secret'").select("doc_id", "role", F.col("kind").alias("part"), F.col("start").alias("p_start"), F.col("stop").alias("p_stop"), F.explode(F.sequence(F.floor(F.col("start") / window), F.floor(F.col("stop") / window))).alias("bucket"))
     gap = F.greatest(F.col("p_start") - F.col("stop"), F.col("start") - F.col("p_stop"), F.lit(0))
     reach = secrets.withColumn("bucket", F.explode(F.sequence("lo", "hi"))).join(others, ["doc_id", "bucket"]).withColumn("gap", gap).where(F.col("gap") <= window)
