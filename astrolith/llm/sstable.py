@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .bpe import VOCABULARY, read_vocabulary
+from .session import partitions
 
 BLOCK_BYTES = 1 << 15
 SHARD_BYTES = 8 << 20
@@ -230,7 +231,8 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield row()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
+    n = partitions(rows)
+    return rows.repartitionByRange(*([n] if n else []), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

@@ -158,3 +158,11 @@ def test_neighbour_edges(spark):
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumns({"part": F.lit(1), "id": F.lit(2), "v": F.lit(3)})
     assert sorted((r.vec_id, r.place, r.neighbour_id, r.distance) for r in N.nearest(df).collect()) == [(1, 1, 2, 0.0), (1, 2, 3, 1.0), (2, 1, 1, 0.0), (2, 2, 3, 1.0), (3, 1, 1, 1.0), (3, 2, 2, 1.0)]
     assert N.nearest(df.where("vec_id = 1")).count() == N.nearest(df.where("false")).count() == 0
+
+
+def test_partitions_follow_size(spark):
+    from astrolith.llm.session import free, partitions
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert partitions(docs) is None and partitions(docs, each=10_000) > 20
+    assert free(docs, "TEXT") == "TEXT_" and free(docs, "x") == "x"
