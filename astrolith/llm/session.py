@@ -50,6 +50,6 @@ def free(df: DataFrame, name: str) -> str:
 
 def partitions(df: DataFrame, each: int = 64 << 20) -> int | None:
     """Partitions of about each bytes of df's files, where the session's number of shuffle partitions is too small for that; else None."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     wanted = -(-size // each)
     return wanted if size < 1 << 60 and wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
