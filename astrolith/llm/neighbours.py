@@ -147,18 +147,25 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     shards, queries = blobs(SHARD_ROWS, "shards"), blobs(QUERY_ROWS, "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, now = None, None
+        shard = None
         for b in batches:
-            for q, s, data in zip(b.column(0), b.column(1).to_pylist(), b.column(2), strict=True):
-                if s != now:
-                    shard, now = Shard(*_rows(data.as_py(), width), projections), s
-                ids, own = _rows(q.as_py(), width)
-                found = [(i, j, d) for i, near in zip(ids.tolist(), shard.search_all(ids, own, k), strict=True) for d, j in near]
+            for is_query, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = _rows(data.as_py(), width)
+                if not is_query:  # comes before the queries that meet it
+                    shard = Shard(*rows, projections)
+                    continue
+                found = [(i, j, d) for i, near in zip(rows[0].tolist(), shard.search_all(*rows, k), strict=True) for d, j in near]
                 a, c, d = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["vec_id", "neighbour_id", "distance"])
 
+    # a shard goes to as many tasks as there are cores for, and each of them takes a share of the query blocks, one after the other
+    spark = vectors.sparkSession
     blocks, cells = max(1, -(-n // QUERY_ROWS)), max(1, -(-n // SHARD_ROWS))
-    grid = queries.select(F.col("part").alias("q"), F.col("blob").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("part")).join(shards, "part").repartition(min(blocks * cells, 1 << 16), "q", "part").select("query", "part", "blob")
+    splits = max(1, min(blocks, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // cells)))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    base = shards.select("part", each(splits).alias("split"), F.lit(False).alias("is_query"), "blob")
+    asked = queries.select(each(cells).alias("to"), F.pmod("part", F.lit(splits)).alias("split"), F.lit(True).alias("is_query"), "blob").withColumnRenamed("to", "part")
+    grid = base.unionByName(asked).repartitionByRange(min(cells * splits, 1 << 16), "part", "split").sortWithinPartitions("part", "split", "is_query").select("is_query", "blob")
     found = grid.mapInArrow(run, "vec_id long, neighbour_id long, distance double")
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
