@@ -3,7 +3,8 @@
 Protected entities (addresses, numbers of phones, cards and accounts, identifiers) are found by patterns and generalised to their
 kind. Other terms of a text may still give an entity away: what a term t says about an entity c is measured by their pointwise mutual
 information over the contexts of the corpus, PMI(c;t) = log p(c,t) / (p(c) p(t)). A term with PMI(c;t) >= IC(c) / alpha, IC(c) = -log p(c)
-being all there is to say about c, exceeds the disclosure threshold: in documents with c it is generalised or removed.
+being all there is to say about c, exceeds the disclosure threshold: in documents with c it is generalised or removed. What rests on
+few distinct contexts counts with the lower bound of its estimate.
 
 A context is a sentence or line, cut into windows of at most WINDOW words.
 """
@@ -29,8 +30,10 @@ from .session import written
 WINDOW = 64
 #: The share of an entity's information content that a term may give away is 1 / ALPHA.
 ALPHA = 1.5
-#: Distinct contexts that an entity and a term must share before the estimate counts. Copies of a context are one.
+#: Distinct contexts, copies of one being one, that an entity and a term share where the estimate counts as it is. With fewer its lower bound does.
 SUPPORT = 3
+#: Normal quantile of that bound: 90% on one side.
+QUANTILE = 1.2816
 #: Terms that a task counts before it passes them on.
 HELD_TERMS = 1 << 20
 _KINDS = {
@@ -128,17 +131,19 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disclosing(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """((entity, term, n_entity, n_term, n_both, n_contexts, pmi, content) of terms over the threshold, (digest, entity, term) of them by text).
 
-    All counts are of contexts, over all rows of docs. Entities and terms are hashes.
+    All counts are of contexts, over all rows of docs. Entities and terms are hashes. Where an entity and a term share k < support distinct contexts,
+    pmi is lessened by log2 of k over the lower bound of a Poisson mean of which k were seen (Wilson and Hilferty): 3.3 bits for k = 1, 2.0 for k = 2.
     """
     found = written(docs.select(F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(_gather, _FOUND), "sanitise")
     here, counts = found.where("digest IS NOT NULL"), found.where("digest IS NULL")
     total = counts.where("term = 0").agg(F.sum("n").alias("n_contexts"))
     one = here.where("term = 0").groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    both = here.where("term <> 0").groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_distinct")).where(F.col("n_distinct") >= support)
+    both = here.where("term <> 0").groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_distinct"))
     each = counts.where("term <> 0").groupBy("term").agg(F.sum("n").alias("n_term"))
     table = both.join(one, "entity").join(each, "term").crossJoin(total)
     ratio = lambda a, b: F.log2(F.col(a).cast("double") / F.col(b))
-    table = table.withColumns({"content": -ratio("n_entity", "n_contexts"), "pmi": ratio("n_both", "n_entity") - ratio("n_term", "n_contexts")})
+    bound = 3 * F.log2(1 - 1 / (9 * F.col("n_distinct")) - QUANTILE / (3 * F.sqrt("n_distinct")))
+    table = table.withColumns({"content": -ratio("n_entity", "n_contexts"), "pmi": ratio("n_both", "n_entity") - ratio("n_term", "n_contexts") + F.when(F.col("n_distinct") < support, bound).otherwise(0.0)})
     over = table.where(F.col("pmi") >= F.col("content") / alpha).drop("n_distinct")
     return over, here.where("term = 0").select("digest", "entity").distinct().join(over.select("entity", "term"), "entity")
 

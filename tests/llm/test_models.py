@@ -109,6 +109,22 @@ def test_disclosure_same_as_brute_force(spark):
     assert all(got[i].text == CORPUS[i] and got[i].n_entities == 0 for i in range(60))
 
 
+def test_disclosure_from_one_and_two_contexts(spark):
+    texts = [f"The meeting number {i} was long. Some people from town {i} left early." for i in range(2000)]
+    texts += ["Reach Quibble Marlowe by +1 (555) 123-4567 at the meeting.", "The weather was fine."]
+    texts += ["Mail Vantongeren at zorro.best@mail.example.com about the town.", "Old Vantongeren has zorro.best@mail.example.com from some people."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in P.sanitise(docs).where("doc_id >= 2000").collect()}
+    assert got[2000].text == "[NAME] [NAME] [NAME] [PHONE] at the meeting." and got[2000].n_terms == 4
+    assert got[2001].text == texts[2001]
+    assert got[2002].text == "[NAME] [NAME] at [EMAIL] the town." and got[2003].text == "[NAME] [NAME] [EMAIL] from some people."
+    over = P.disclosing(docs)[0].collect()
+    assert {(r.n_entity, r.n_both) for r in over} == {(1, 1), (2, 1), (2, 2)}
+    for r in over:
+        k, raw = r.n_both, math.log2(r.n_both * r.n_contexts / r.n_entity / r.n_term)
+        assert math.isclose(r.pmi, raw + 3 * math.log2(1 - 1 / (9 * k) - P.QUANTILE / (3 * k**0.5))) and r.pmi >= r.content / P.ALPHA
+
+
 def test_sanitise_edges(spark):
     long = "word " * 200_000 + "me@x.example.com"
     rows = [(1, None), (2, ""), (None, "a@b.example.com"), (3, "a@b.example.com"), (3, "a@b.example.com"), (4, long), (5, "@ 1234567 no-one"), (6, "12.5.2020 at 3.14.15")]
