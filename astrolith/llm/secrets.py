@@ -27,17 +27,17 @@ SECRET = [
     ("prefixed", True, re.compile(r"(?<![A-Za-z0-9])((?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*))"), 0, 0.0),
     ("named_quoted", True, re.compile(_NAMED + r"""["']([^"'\s]{6,})["']"""), 6, 2.0),
     ("named_bare", False, re.compile(_NAMED + r"""([^\s"',;]{6,})"""), 6, 2.0),
-    ("opaque", False, re.compile(r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2})(?![A-Za-z0-9+/_=-])"), 24, 3.0),
+    ("opaque", False, re.compile(r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2})(?![A-Za-z0-9+/_=-])"), 24, 3.0),
 ]
 IDENTIFIER = [
     ("access_key_id", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])")),
     ("email", re.compile(r"(?<![\w.+-])([\w.+-]+@[\w-]+(?:\.[\w-]+)+)")),
-    ("named_identifier", re.compile(r"""(?i:(?<![a-z0-9])(?:user(?:name)?|login|account|client[_-]?id|key[_-]?id|uid)\s*[=:]\s*)["']?([^\s"',;]{2,})""")),
+    ("named_identifier", re.compile(r"""(?i:(?<![a-z0-9])(?:user(?:name)?|login|account(?:[_-]?name)?|client[_-]?id|key[_-]?id|uid)\s*[=:]\s*)["']?([^\s"',;]{2,})""")),
 ]
 ENDPOINT = [
     ("url", re.compile(r"([A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+)")),
     ("address", re.compile(r"(?<![\d.])((?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?::\d{1,5})?)(?![\d.]*\d)")),
-    ("named_endpoint", re.compile(r"""(?i:(?<![a-z0-9])(?:host(?:name)?|endpoint|server|url)\s*[=:]\s*)["']?([^\s"',;]{3,})""")),
+    ("named_endpoint", re.compile(r"""(?i:(?<![a-z0-9])(?:host(?:name)?|endpoint(?:[_-]?suffix)?|server|url)\s*[=:]\s*)["']?([^\s"',;]{3,})""")),
 ]
 #: What each text with a secret of SECRET has.
 MAYBE = r"(?i)(token|secret|passw|pwd|key|credential|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|[A-Za-z0-9+/_-]{24})"
@@ -51,26 +51,37 @@ def entropy(value: str) -> float:
 
 
 def parts(text: str) -> list[tuple[str, str, bool, int, int, str]]:
-    """(role, kind, strong, start, stop, value) of a text's parts, none within an earlier one of its role. Without a secret there are none."""
-    taken: list[tuple[int, int]] = []
+    """(role, kind, strong, start, stop, value) of a text's parts, none over an earlier one of its role. Without a secret there are none.
+
+    Parts of different roles may overlap, as a URL and the key in it do; their gap is 0 then. A part that is no more than the secret itself, or whose path the
+    secret is, doesn't complement it: with no other secret in the text it is left out.
+    """
+    taken: dict[str, list[tuple[int, int]]] = {"secret": [], "identifier": [], "endpoint": []}
     out = []
 
-    def free(a: int, b: int) -> bool:
-        if any(x < b and a < y for x, y in taken):
+    def free(role: str, a: int, b: int) -> bool:
+        if any(x < b and a < y for x, y in taken[role]):
             return False
-        taken.append((a, b))
+        taken[role].append((a, b))
         return True
 
     for kind, strong, pattern, shortest, least in SECRET:
         for m in pattern.finditer(text):
             value = m[1]
-            if len(value) >= shortest and entropy(value) >= least and free(*m.span(1)):
+            if len(value) >= shortest and entropy(value) >= least and free("secret", *m.span(1)):
                 out.append(("secret", kind, strong, *m.span(1), value))
+    secrets = [(kind, a, b) for _, kind, _, a, b, _ in out]
+
+    def own(kind: str, a: int, b: int, secret: str, x: int, y: int) -> bool:
+        if kind == "url" and secret == "opaque" and a <= x and y <= b:
+            return not any(s in text[a:x] for s in "?#=") and text[y : y + 1] != "@"
+        return kind in ("email", "url", "address") and x <= a and b <= y
+
     if out:
         for role, patterns in (("identifier", IDENTIFIER), ("endpoint", ENDPOINT)):
             for kind, pattern in patterns:
                 for m in pattern.finditer(text):
-                    if free(*m.span(1)):
+                    if not all(own(kind, *m.span(1), *s) for s in secrets) and free(role, *m.span(1)):
                         out.append((role, kind, True, *m.span(1), m[1]))
     return out
 

@@ -129,6 +129,26 @@ def test_secrets_same_as_brute_force(spark):
     assert X.scan(docs.where("false")).count() == X.redact(docs.where("false")).count() == 0
 
 
+def test_secrets_after_a_name_and_in_a_url(spark):
+    sig, key = "q7Zt2LmX9vB4nKc8RyW1sDf6HgJ3pTaE5uVo0iQx", "aB3dE5gH7jK9mN1pQ3sT5vW7yZ" * 3 + "aB3dE5gHfw"
+    texts = [
+        (f"user=bob sig={sig} host=db.example.com", sig, "opaque"),
+        (f"AccountName=shop;AccountKey={key}==;EndpointSuffix=core.example.net", key + "==", "opaque"),
+        ("see https://api.example.com/v1?api_key=9f8a7b6c5d4e now", "9f8a7b6c5d4e", "named_bare"),
+        (f"see https://bob:{sig}@db.example.com/v1 now", sig, "opaque"),
+        ("https://example.com/v1/projects/1234/list?api_key=9f8a7b6c5d4e", "9f8a7b6c5d4e", "named_bare"),
+    ]
+    clean = [f"sig={sig} alone", "read https://example.com/articles/2020/some-long-title-here today", "password=hunter@example.com"]
+    docs = spark.createDataFrame(list(enumerate([t for t, *_ in texts] + clean)), "doc_id long, text string")
+    rows = X.scan(docs).collect()
+    got = {(r.doc_id, r.start, r.stop, r.kind, r.confidence) for r in rows}
+    assert {(i, t.index(v), t.index(v) + len(v), k, "linked") for i, (t, v, k) in enumerate(texts)} <= got and {r.doc_id for r in rows} == set(range(len(texts)))
+    assert all(any(e.start <= r.start and r.stop <= e.stop and e.gap == 0 for e in r.endpoints) for r in rows if r.doc_id in (2, 4))
+    left = {r.doc_id: r.text for r in X.redact(docs).collect()}
+    assert left[0] == "user=bob sig=[SECRET] host=db.example.com" and left[1] == "AccountName=shop;AccountKey=[SECRET];EndpointSuffix=core.example.net"
+    assert left[2] == "see https://api.example.com/v1?api_key=[SECRET] now" and [left[len(texts) + i] for i in range(len(clean))] == clean
+
+
 def test_neighbours_recall(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = vectors.orderBy("vec_id").collect()
