@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import tiktoken
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import VOCABULARY, read_vocabulary
+from .sstable import PATTERN
+
 CAPACITY = 2048
 OPEN_BINS = 64
 #: Documents to a stream, on average. Each stream is packed by itself.
@@ -63,15 +67,28 @@ def pack(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BIN
 
 
 def n_tokens(text_col: str) -> F.Column:
-    """Length of a text in tokens: words and single other signs."""
+    """Length of a text in words and single other signs. A vocabulary's tokens are more: see bpe_tokens."""
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.lit(0))
 
 
+def bpe_tokens(spark: SparkSession, text_col: str, vocabulary: str = VOCABULARY) -> F.Column:
+    """Length of the whole text in tokens of the vocabulary, as op2 and op10 encode it; 0 for a null."""
+    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+        for b in batches:
+            yield pa.array([len(coder.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in b], pa.int64())
+
+    return count(F.col(text_col))
+
+
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: F.Column | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, stream_docs: int = STREAM_DOCS) -> DataFrame:
     """One row for each piece of a document: doc_id, piece, bin, bin_offset, start, n_tokens.
 
     Documents go to streams by a hash of doc_id, about stream_docs to each, and each stream is packed in the order of doc_id,
-    then length. Only identifiers and lengths are shuffled. A document of no tokens (a null or empty text) has one row, with piece 0, n_tokens 0 and no
+    then length. length is that of n_tokens if None; start, n_tokens and capacity are in its unit. Only identifiers and lengths are shuffled. A document of no tokens (a null or empty text) has one row, with piece 0, n_tokens 0 and no
     bin. Among bins with the same free space the one that came to it first is taken. Rows that repeat are packed each. A null identifier is packed and stays null. An empty table gives
     no rows.
     """
@@ -102,4 +119,4 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return best_fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return best_fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=bpe_tokens(spark, "text"))
