@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -117,9 +117,13 @@ def fit(texts: list[str], labels: list[str], centroids: int = CENTROIDS, dimensi
 
 
 def sample(docs: DataFrame, fit_rows: int, text_col: str, label_col: str, id_col: str) -> tuple[list[str], list[str]]:
-    """At most fit_rows labelled rows, those with the smallest hashes of the identifier: the same ones at each run."""
+    """At most fit_rows labelled rows, those with the smallest hashes of the identifier in each label: the same ones at each run.
+
+    Labels take turns, so that each has an equal share, and what rare ones leave goes to the others.
+    """
     own = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label IS NOT NULL")
-    ids = own.select(F.xxhash64("sample_id").alias("h"), "sample_id").orderBy("h", "sample_id").limit(fit_rows).select("sample_id").distinct()
+    ranked = own.where("text IS NOT NULL").select(F.xxhash64("sample_id").alias("h"), "sample_id", "label").withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h", "sample_id")))
+    ids = ranked.where(F.col("turn") <= fit_rows).orderBy("turn", "h", "sample_id").limit(fit_rows).select("sample_id").distinct()
     rows = own.where("text IS NOT NULL").join(F.broadcast(ids), "sample_id").orderBy("sample_id", "text").limit(fit_rows).collect()
     return [r[1] for r in rows], [str(r[2]) for r in rows]
 

@@ -39,6 +39,15 @@ def test_language_edges(spark):
     assert all(r.rejected for r in L.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect())
 
 
+def test_rare_language_is_fitted_at_any_size(spark):
+    rows = [(i, f"the cat number {i}", "en") for i in range(900)] + [(900 + i, f"le chat {i}", "fr") for i in range(80)] + [(980 + i, f"il gatto {i}", "it") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = L.sample(docs, 40, "text", "lang", "doc_id")
+    assert len(texts) == 40 and {k: labels.count(k) for k in set(labels)} in ({"en": 19, "fr": 18, "it": 3}, {"en": 18, "fr": 19, "it": 3})
+    assert (texts, labels) == L.sample(docs.orderBy(F.desc("doc_id")), 40, "text", "lang", "doc_id")
+    assert len(L.sample(docs, 2000, "text", "lang", "doc_id")[0]) == len(rows)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     x, y, names = Q.sample(docs, labels, 100_000, "doc_id", "text", "quality")
