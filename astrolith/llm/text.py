@@ -22,7 +22,7 @@ _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 def classes() -> np.ndarray:
     """Class of each code point: white space, letter, number or other."""
     table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    for c in range(0x32000):
+    for c in range(0x40000):  # beyond, nothing is a letter or a number
         k = unicodedata.category(chr(c))[0]
         if k == "L":
             table[c] = LETTER

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import regex
 
 
 def components(n, pairs):
@@ -81,3 +82,21 @@ def links(found, window):
             if strong or linked:
                 out.append((a, z, kind, linked))
     return sorted(out)
+
+
+PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+
+
+def pretokens(text):
+    return PRETOKEN.findall(text)
+
+
+def bpe(word, ranks):
+    """Tokens of a word: the leftmost pair of the smallest rank is merged, one at a time."""
+    parts = [bytes([x]) for x in word]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]

@@ -1,5 +1,7 @@
 """Tokens, shards, packing, secrets and neighbours: round trips and brute force."""
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import tiktoken
@@ -17,9 +19,13 @@ DATA = "/root/testdata/sf0.001"
 ODD = ["", None, "a", "  \n\t x", "it's we'll they'RE 'tis", "Ünïcödé 世界 🙂🙂", "a" * 5000, "x " * 40_000, "<|endoftext|>", "é́", "\r\n\r\n    z　", "123 456,789", "ab" * 200, "\x00\x7f"]
 
 
+@functools.cache
+def other_encoder():
+    return tiktoken.Encoding("own", pat_str=T.PATTERN, mergeable_ranks=B.read_vocabulary(), special_tokens={})
+
+
 def reference_tokens(text):
-    coder = tiktoken.Encoding("own", pat_str=T.PATTERN, mergeable_ranks=B.read_vocabulary(), special_tokens={})
-    return coder.encode_ordinary(text)
+    return other_encoder().encode_ordinary(text)
 
 
 def test_bpe_same_as_another_encoder(spark):
@@ -35,14 +41,47 @@ def test_bpe_same_as_another_encoder(spark):
     assert B.encode(docs.where("false")).count() == B.decode(encoded.where("false")).count() == 0
 
 
-def test_bpe_recursion_same_as_heap():
+def cjk(r, n):
+    return "".join(map(chr, r.integers(0x4E00, 0x9FFF, n)))
+
+
+def test_bpe_same_as_brute_force():
     ranks = B.read_vocabulary()
     coder = B.Coder(ranks, B.merge_table(ranks))
     r = np.random.default_rng(0)
-    words = [bytes(r.choice(list(b"abeinst "), int(r.integers(1, 40)))) for _ in range(300)] + [b"aaaa", b"aaaaa", b"abababab"]
+    words = list(dict.fromkeys([bytes(r.choice(list(b"abeinst "), int(r.integers(1, 40)))) for _ in range(300)] + [b"aaaa", b"aaaaa", b"abababab", b"ACGT" * 99, bytes(range(256)), cjk(r, 90).encode()]))
     tokens, count = coder.words(words)
     parts = np.split(tokens, np.cumsum(count)[:-1])
-    assert [p.tolist() for p in parts] == [coder.long_word(w) for w in words]
+    assert [p.tolist() for p in parts] == [brute.bpe(w, ranks) for w in words]
+    texts = [*filter(None, ODD[:6]), "\U00032000\U00032100 x\U000323af!", cjk(r, 50), "it's 12ab!! \n\n x", "ſ K İ"]
+    got = [x for lists in coder.encode(pa.array(texts)) for x in lists.to_pylist()]
+    assert got == [[t for w in brute.pretokens(x) for t in brute.bpe(w.encode(), ranks)] for x in texts]
+
+
+def test_bpe_of_unspaced_scripts_stays_small(monkeypatch):
+    """A text of a million signs, and a thousand rows of 900, with runs of several lengths; batches of any size give the same."""
+    ranks = B.read_vocabulary()
+    coder = B.Coder(ranks, B.merge_table(ranks))
+    r = np.random.default_rng(1)
+    for texts in (["，".join(cjk(r, 80) for _ in range(12_000))], [" ".join(cjk(r, n) for _ in range(900 // n)) for n in (15, 40) for _ in range(512)], ["".join(r.choice(list("ACGT"), 200_000))]):
+        got = [x for lists in coder.encode(pa.array(texts)) for x in lists.to_pylist()]
+        assert got == [reference_tokens(t) for t in texts]
+        assert coder.decode(pa.array(got, pa.list_(pa.int32()))) == [t.encode() for t in texts]
+    want = coder.decode(pa.array(got, pa.list_(pa.int32())))
+    monkeypatch.setattr(B, "BATCH_BYTES", 7)
+    monkeypatch.setattr(B, "BATCH_TOKENS", 1000)
+    monkeypatch.setattr(B, "SLICE", 50)
+    monkeypatch.setattr(B, "CACHE_WORDS", 3)
+    assert coder.decode(pa.array(got, pa.list_(pa.int32()))) == want
+    coder.forget()
+    short = ["some words of some text", None, "", "more words", "世界 世界"] * 3
+    assert [x for lists in coder.encode(pa.array(short)) for x in lists.to_pylist()] == [None if t is None else reference_tokens(t) for t in short]
+
+
+def test_bpe_rows_that_repeat_and_null_identifiers(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "x"), (1, "x"), (2, None)], "doc_id long, text string").withColumns({"n_tokens": F.lit(1), "exact": F.lit("no"), "tok": F.lit(0)})
+    got = B.encode(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.exact) for r in got) == [(0, 2, True), (0, 2, True), (1, 1, True), (1, 1, True), (2, 0, True)]
 
 
 def test_shards_round_trip(spark):
