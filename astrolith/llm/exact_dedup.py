@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import free, written
+from .session import may_be_in, partitions, without, written
 
 MEMTABLE_ROWS = 1 << 16
 #: Runs of a level that compaction merges into one of the next level.
@@ -166,23 +166,24 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs without those that exact_duplicates() lists, in the columns of docs.
 
     A row goes only if both its identifier and its text are listed, so that an identifier that is used for several texts
-    keeps the other ones. Null identifiers and null texts stay.
+    keeps the other ones, and of rows that repeat the smallest identifier all stay. Null identifiers and null texts stay; an empty table stays empty.
     """
-    gone_id, gone_digest = free(docs, "gone_id"), free(docs, "gone_digest")
-    gone = _listed(docs, id_col, text_col).select(F.col("digest").alias(gone_digest), F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col(gone_id)) & (digest(text_col) == F.col(gone_digest)), "left_anti")
+    gone = _listed(docs, id_col, text_col).select("doc_id", "digest")
+    return without(docs, written(gone, "gone"), {"doc_id": F.col(id_col).cast("long"), "digest": digest(text_col)})
 
 
 def _listed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(digest, doc_id, kept_id) of duplicates.
 
-    Hits are verified by their bytes: the least and the largest text of a digest are equal if all are. Groups hold no lists, so that one of any
+    Hits are verified by their bytes: the least and the largest text of a digest are equal if all are. Only texts whose identifier is among the hits
+    are shuffled for that, and in partial aggregates where copies lie together. Groups hold no lists, so that one of any
     size fits; a digest of several texts, if there ever is one, is split by text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    n = partitions(rows, 256 << 20)
     keyed = rows.withColumn("digest", digest("text"))
-    hits = written(keyed.select("digest", "doc_id").repartition("digest").mapInArrow(_hits, "digest binary, doc_id long"), "hits")
-    members = keyed.join(hits.hint("shuffle_hash"), ["digest", "doc_id"], "left_semi")
+    hits = written(keyed.select("digest", "doc_id").repartition(*([n] if n else []), "digest").mapInArrow(_hits, "digest binary, doc_id long"), "hits")
+    members = rows.where(may_be_in(F.col("doc_id"), hits.select("doc_id"))).withColumn("digest", digest("text")).join(hits.hint("shuffle_hash"), ["digest", "doc_id"], "left_semi")
     groups = written(members.groupBy("digest").agg(F.min("doc_id").alias("kept_id"), (F.min("text") == F.max("text")).alias("same")), "groups")
     found = hits.join(groups.where("same"), "digest").select("digest", "doc_id", "kept_id")
     mixed = groups.where("NOT same").select("digest")

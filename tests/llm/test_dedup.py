@@ -15,6 +15,7 @@ EDGE = [(5, "a"), (3, "a"), (3, "a"), (None, "a"), (9, None), (1, ""), (2, ""),
 
 
 def pairs(df):
+    """(doc_id, kept_id) rows, sorted."""
     return sorted((r.doc_id, r.kept_id) for r in df.collect())
 
 
@@ -79,6 +80,51 @@ def test_near_same_as_brute_force(spark):
     assert {i for i, _ in exact} <= {i for i, _ in got}
 
 
+def test_links_same_as_brute_force(spark, monkeypatch):
+    """Links counted once each over all tables; buckets cut into blocks give the same."""
+    r = np.random.default_rng(5)
+    fp = r.integers(0, 256, (900, 16), dtype=np.uint8)
+    for i in range(0, 900, 3):
+        fp[i + 1], fp[i + 2] = fp[i] ^ np.packbits(r.random(128) < 0.04), fp[i] ^ np.packbits(r.random(128) < 0.1)
+    fp[600:] = fp[600] ^ np.packbits(r.random((300, 128)) < 0.06, axis=1)  # one large group of different texts
+    fp = np.unique(fp, axis=0)
+    halves, bits = fp.view(np.int64), np.unpackbits(fp, axis=1).astype(int)
+    masks = S.samples(*S.shape(len(fp), recall=0.999)[::-1])
+    near = ((bits[:, None] != bits[None]).sum(2) <= 26) & ~np.eye(len(fp), dtype=bool)
+    meet = np.zeros_like(near)
+    for m in masks:
+        own = halves & m
+        meet |= (own[:, None] == own[None]).all(2)
+    want = {tuple(h): int(n) for h, n in zip(halves.tolist(), (near & meet).sum(1), strict=True) if n}
+    prints = spark.createDataFrame(halves.tolist(), "hi long, lo long")
+    for block in (S.BLOCK, 40):
+        monkeypatch.setattr(S, "BLOCK", block)
+        got, edges = {}, []
+        for x in S._links(prints, 26, masks).collect():
+            if x.b_hi is None:
+                got[x.a_hi, x.a_lo] = got.get((x.a_hi, x.a_lo), 0) + x.n
+            else:
+                edges.append(((x.a_hi, x.a_lo), (x.b_hi, x.b_lo)))
+        assert got == want and (near & meet).sum() >= 0.99 * near.sum()
+        at = {tuple(h): i for i, h in enumerate(halves.tolist())}
+        assert brute.components(len(fp), [(at[a], at[b]) for a, b in edges]) == brute.components(len(fp), np.argwhere(near & meet).tolist())
+
+
+def test_shape_keeps_buckets_and_recall():
+    for n in (0, 1, 300, 10_000, 10**6, 10**9):
+        key_bits, tables = S.shape(n)
+        assert 1 - (1 - (1 - S.RADIUS / S.BITS) ** key_bits) ** tables >= S.RECALL and n / 2**key_bits <= 2 * S.BUCKET
+
+
+def test_near_keeps_an_unrelated_text_of_a_listed_identifier(spark):
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"z{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, base), (2, base + " tail"), (2, other), (3, other + " end"), (None, base)], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.text) for x in S.drop_near_duplicates(docs).collect()) == [(0, base), (1, base), (2, other)]
+    assert sorted((x.doc_id, x.kept_id, x.n_links) for x in S.near_groups(docs).collect()) == [(2, 1, 1), (3, 2, 1)]
+    words = spark.createDataFrame([(i, f"word{i}") for i in range(3000)] + [(5000, "WORD7"), (5001, "word7 !")], "doc_id long, text string")
+    assert pairs(S.near_groups(words)) == [(5000, 7), (5001, 7)]
+
+
 def test_near_edges(spark):
     long = " ".join(f"word{i} other{i * 7}" for i in range(20_000))
     base = " ".join(f"w{i}" for i in range(60))
@@ -96,7 +142,7 @@ def test_bucket_edges_connect_like_all_pairs(n):
     fp, key = r.integers(0, 256, (n, 16), dtype=np.uint8), r.integers(0, 9, n)
     for i in range(1, n, 2):
         fp[i], key[i] = fp[i - 1] ^ np.packbits(r.random(128) < 0.1), key[i - 1]
-    a, b = S.bucket_edges(key, fp, 26)
+    a, b, _ = S.bucket_edges(key, fp, 26)
     bits = np.unpackbits(fp, axis=1).astype(int)
     close = [(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and (bits[i] != bits[j]).sum() <= 26]
     assert brute.components(n, zip(a.tolist(), b.tolist(), strict=True)) == brute.components(n, close)
