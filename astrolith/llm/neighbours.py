@@ -25,8 +25,10 @@ HALF_WIDTH = 1.0
 THRESHOLD = 0.57
 #: Factor by which the radius grows.
 GROWTH = 1.12
-#: Vectors to a shard, which has sorted arrays of its own, and queries to a task.
-SHARD_ROWS, QUERY_ROWS = 1 << 16, 1 << 11
+#: Vectors to a shard, which has sorted arrays of its own, and queries to a block; bytes of vectors in a shard, in case they are wide.
+SHARD_ROWS, QUERY_ROWS, SHARD_BYTES = 1 << 16, 1 << 7, 1 << 28
+#: The query takes the vectors whose identifier this divides, and searches all vectors for them.
+EVERY = 50
 #: Vectors whose collisions are counted at once.
 BLOCK_ROWS = 1 << 13
 
@@ -131,20 +133,22 @@ def _blobs(width: int, size: int):
     return run
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, projections: int = PROJECTIONS) -> DataFrame:
-    """(vec_id, neighbour_id, distance, place) of the k nearest other vectors of each vector, by Euclidean distance.
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, projections: int = PROJECTIONS, every: int = 1) -> DataFrame:
+    """(vec_id, neighbour_id, distance, place) of the k nearest other vectors of each vector whose identifier every divides, by Euclidean distance.
 
     Vectors are spread over shards by a hash of the identifier; each block of queries meets each shard in a task of its own, and the shards'
     results are merged. Null identifiers, null and empty vectors, and vectors with a null or a value that is not finite take no part; nor do those of another
     length than the most frequent one (the larger of a tie). Rows that repeat an identifier count once, with the smallest vector. Equal distances go by the smaller identifier. A
-    table of one vector, or none, gives no rows. Further columns are not read.
+    table of one vector, or none, gives no rows. Further columns are not read. All vectors are indexed, and nothing is fitted.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     shape = rows.groupBy(F.size("v").alias("width")).agg(F.countDistinct("id").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
     width, n = (shape["width"], shape["n"]) if shape else (1, 0)
     once = rows.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"))
-    blobs = lambda size, name: written(once.select(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).alias("part"), "id", "v").repartition("part").sortWithinPartitions("part", "id").mapInArrow(_blobs(width, size), "part long, blob binary"), name)
-    shards, queries = blobs(SHARD_ROWS, "shards"), blobs(QUERY_ROWS, "queries")
+    wanted = once.where(F.pmod("id", F.lit(every)) == 0)
+    n_wanted, shard_rows = wanted.count(), max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * width + 8)))
+    blobs = lambda df, n, size, name: written(df.select(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).alias("part"), "id", "v").repartition("part").sortWithinPartitions("part", "id").mapInArrow(_blobs(width, size), "part long, blob binary"), name)
+    shards, queries = blobs(once, n, shard_rows, "shards"), blobs(wanted, n_wanted, QUERY_ROWS, "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
@@ -160,7 +164,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     # a shard goes to as many tasks as there are cores for, and each of them takes a share of the query blocks, one after the other
     spark = vectors.sparkSession
-    blocks, cells = max(1, -(-n // QUERY_ROWS)), max(1, -(-n // SHARD_ROWS))
+    blocks, cells = max(1, -(-n_wanted // QUERY_ROWS)), max(1, -(-n // shard_rows))
     splits = max(1, min(blocks, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // cells)))
     each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
     base = shards.select("part", each(splits).alias("split"), F.lit(False).alias("is_query"), "blob")
@@ -172,4 +176,4 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=EVERY)

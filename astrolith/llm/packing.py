@@ -1,122 +1,159 @@
 """Best-fit packing of documents into training sequences, online and with bounded space.
 
-A stream of pieces meets a fixed number of open bins. A bitset has bit f set if an open bin has f tokens free; the
+A stream of documents, as token ids, meets a fixed number of open bins. A bitset has bit f set if an open bin has f tokens free; the
 lowest set bit at or above a piece's length is the best fit. If no open bin takes the piece and all places are in use, the
-fullest bin closes first.
+fullest bin closes first. A bin that closes leaves the stream as a sequence.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, read_vocabulary
+from .session import partitions
 from .sstable import PATTERN
 
 CAPACITY = 2048
 OPEN_BINS = 64
 #: Documents to a stream, on average. Each stream is packed by itself.
 STREAM_DOCS = 8192
-SCHEMA = "doc_id long, piece int, bin string, bin_offset int, start long, n_tokens int"
+SCHEMA = "bin string, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<int>, tokens array<int>, n_tokens int"
+#: Sequences in one Arrow batch.
+BATCH_BINS = 256
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> list[list[tuple[int, int, int, int]]]:
-    """For each length, its pieces as (bin, offset in the bin, start in the document, tokens).
+class Packer:
+    """One stream. closed lists the bins that can take no further piece."""
 
-    A document that is longer than a bin fills whole bins, and its rest is packed as any other piece.
-    """
-    free_bits, by_free, used, bins = 0, {}, 0, 0
-    out = []
-    for n in lengths:
+    def __init__(self, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
+        self.capacity, self.open_bins = capacity, open_bins
+        self.bits, self.by_free, self.used, self.bins = 0, {}, 0, 0
+        self.closed: list[int] = []
+
+    def _take(self, free: int) -> int:
+        queue = self.by_free[free]
+        at = queue.popleft()
+        if not queue:
+            self.bits ^= 1 << free
+        return at
+
+    def add(self, n: int) -> list[tuple[int, int, int, int]]:
+        """The pieces of a document of n tokens, as (bin, offset in the bin, start in the document, tokens).
+
+        A document that is longer than a bin fills whole bins, and its rest is packed as any other piece. Of bins with the same free space the one that came to it first is taken.
+        """
         pieces, start = [], 0
-        while n - start >= capacity:
-            pieces.append((bins, 0, start, capacity))
-            bins, start = bins + 1, start + capacity
+        while n - start >= self.capacity:
+            pieces.append((self.bins, 0, start, self.capacity))
+            self.closed.append(self.bins)
+            self.bins, start = self.bins + 1, start + self.capacity
         rest = n - start
         if rest:
-            fit = free_bits >> rest
+            fit = self.bits >> rest
             if fit:
                 free = rest + ((fit & -fit).bit_length() - 1)
-                queue = by_free[free]
-                at = queue.pop(0)
-                if not queue:
-                    free_bits ^= 1 << free
+                at = self._take(free)
             else:
-                if used == open_bins:
-                    free = (free_bits & -free_bits).bit_length() - 1
-                    queue = by_free[free]
-                    queue.pop(0)
-                    if not queue:
-                        free_bits ^= 1 << free
-                    used -= 1
-                at, free = bins, capacity
-                bins, used = bins + 1, used + 1
-            pieces.append((at, capacity - free, start, rest))
+                if self.used == self.open_bins:
+                    self.closed.append(self._take((self.bits & -self.bits).bit_length() - 1))
+                    self.used -= 1
+                at, free = self.bins, self.capacity
+                self.bins, self.used = self.bins + 1, self.used + 1
+            pieces.append((at, self.capacity - free, start, rest))
             left = free - rest
             if left:
-                by_free.setdefault(left, []).append(at)
-                free_bits |= 1 << left
+                self.by_free.setdefault(left, deque()).append(at)
+                self.bits |= 1 << left
             else:
-                used -= 1
-        out.append(pieces)
-    return out
+                self.used -= 1
+                self.closed.append(at)
+        return pieces
 
 
-def n_tokens(text_col: str) -> F.Column:
-    """Length of a text in words and single other signs. A vocabulary's tokens are more: see bpe_tokens."""
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.lit(0))
-
-
-def bpe_tokens(spark: SparkSession, text_col: str, vocabulary: str = VOCABULARY) -> F.Column:
-    """Length of the whole text in tokens of the vocabulary, as op2 and op10 encode it; 0 for a null."""
-    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
-
-    @F.arrow_udf("long")
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
-        for b in batches:
-            yield pa.array([len(coder.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in b], pa.int64())
-
-    return count(F.col(text_col))
-
-
-def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: F.Column | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, stream_docs: int = STREAM_DOCS) -> DataFrame:
-    """One row for each piece of a document: doc_id, piece, bin, bin_offset, start, n_tokens.
-
-    Documents go to streams by a hash of doc_id, about stream_docs to each, and each stream is packed in the order of doc_id,
-    then length. length is that of n_tokens if None; start, n_tokens and capacity are in its unit. Only identifiers and lengths are shuffled. A document of no tokens (a null or empty text) has one row, with piece 0, n_tokens 0 and no
-    bin. Among bins with the same free space the one that came to it first is taken. Rows that repeat are packed each. A null identifier is packed and stays null. An empty table gives
-    no rows.
+def pack(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> list[list[tuple[int, int, int, int]]]:
+    """For each length, its pieces as Packer.add() gives them."""
+    packer = Packer(capacity, open_bins)
+    return [packer.add(n) for n in lengths]
+
+
+def _sequences(rows: Iterator[tuple[int, int | None, np.ndarray]], capacity: int, open_bins: int) -> Iterator[tuple]:
+    """Rows of SCHEMA of (stream, doc_id, tokens) rows, which come stream by stream. Only open bins are held."""
+    now, packer, held = None, None, {}
+
+    def bin_row(stream: int, at: int) -> tuple:
+        own = held.pop(at)
+        ids, pieces, starts, parts = zip(*own, strict=True)
+        tokens = np.concatenate(parts)
+        return f"{stream}-{at}", ids, pieces, starts, [len(p) for p in parts], tokens, len(tokens)
+
+    for stream, doc, tokens in rows:
+        if stream != now:
+            yield from [bin_row(now, at) for at in sorted(held)]
+            now, packer, held = stream, Packer(capacity, open_bins), {}
+        if not len(tokens):
+            yield None, [doc], [0], [0], [0], tokens, 0
+            continue
+        for k, (at, _, start, n) in enumerate(packer.add(len(tokens))):
+            held.setdefault(at, []).append((doc, k, start, tokens[start : start + n]))
+        for at in packer.closed:
+            yield bin_row(stream, at)
+        packer.closed.clear()
+    yield from [bin_row(now, at) for at in sorted(held)]
+
+
+def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, stream_docs: int = STREAM_DOCS) -> DataFrame:
+    """One row for each sequence: bin, doc_ids, pieces, starts, lengths, tokens, n_tokens.
+
+    tokens are the ids that op10 gives, piece after piece; doc_ids, pieces, starts and lengths say for each piece of which document it is, the how many-th of it, where
+    it begins in the document's tokens and how many it has. Every token of every text is in exactly one sequence, and none has more than capacity.
+    Documents go to streams by a hash of identifier and text, about stream_docs to each, and each stream is packed in the order of doc_id (nulls first), then tokens; token ids are shuffled, in two
+    bytes each if the vocabulary allows. A document of no tokens (a null or empty text) has a row of its own, without a bin. Rows that repeat are packed each, and a null identifier stays
+    null. An empty table gives no rows; further columns are not read.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest((n_tokens(text_col) if length is None else length).cast("long"), F.lit(0)).alias("n"))
+    spark = docs.sparkSession
+    ranks = read_vocabulary(vocabulary)
+    shared, width = spark.sparkContext.broadcast(ranks), np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
     streams = max(1, -(-docs.select(F.count(F.lit(1))).first()[0] // stream_docs))
-    spread = sizes.select(F.pmod(F.xxhash64("doc_id"), F.lit(streams)).alias("stream"), "doc_id", F.coalesce("n", F.lit(0)).alias("n")).repartition("stream").sortWithinPartitions("stream", "doc_id", "n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(stream: int, ids: list, lengths: list[int]) -> pa.RecordBatch:
-            rows = [(i, k, f"{stream}-{p[0]}", p[1], p[2], p[3]) for i, pieces in zip(ids, pack(lengths, capacity, open_bins), strict=True) for k, p in enumerate(pieces or [(None, None, 0, 0)])]
-            rows = [r if r[5] else (r[0], r[1], None, None, r[4], r[5]) for r in rows]
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["doc_id", "piece", "bin", "bin_offset", "start", "n_tokens"])
-
-        now, ids, lengths = None, [], []
+    @F.arrow_udf("binary")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
         for b in batches:
-            for s, i, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s != now:
-                    if ids:
-                        yield packed(now, ids, lengths)
-                    now, ids, lengths = s, [], []
-                ids.append(i)
-                lengths.append(n)
-        if ids:
-            yield packed(now, ids, lengths)
+            yield pa.array([np.array(coder.encode_ordinary(t.as_py()), width).tobytes() if t.is_valid else b"" for t in b], pa.binary())
 
-    return spread.mapInArrow(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, int | None, np.ndarray]]:
+            for b in batches:
+                for s, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    yield s, i, np.frombuffer(t.as_buffer(), width).astype(np.int32)
+
+        def batch(own: list[tuple]) -> pa.RecordBatch:
+            name, ids, pieces, starts, lengths, tokens, n = zip(*own, strict=True)
+            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(tokens), pa.int32()))
+            lists = [pa.array(list(map(list, c)), pa.list_(kind)) for c, kind in ((ids, pa.int64()), (pieces, pa.int32()), (starts, pa.int64()), (lengths, pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array(name, pa.string()), *lists, flat, pa.array(n, pa.int32())], ["bin", "doc_ids", "pieces", "starts", "lengths", "tokens", "n_tokens"])
+
+        own = []
+        for row in _sequences(rows(), capacity, open_bins):
+            own.append(row)
+            if len(own) == BATCH_BINS:
+                yield batch(own)
+                own = []
+        if own:
+            yield batch(own)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n = partitions(texts, 256 << 20)
+    coded = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(streams)).alias("stream"), "doc_id", encoded("text").alias("tokens"))
+    return coded.repartition(*([n] if n else []), "stream").sortWithinPartitions("stream", "doc_id", "tokens").mapInArrow(run, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return best_fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=bpe_tokens(spark, "text"))
+    return best_fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))

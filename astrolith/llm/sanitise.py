@@ -3,8 +3,8 @@
 Protected entities (addresses, numbers of phones, cards and accounts, identifiers) are found by patterns and generalised to their
 kind. Other terms of a text may still give an entity away: what a term t says about an entity c is measured by their pointwise mutual
 information over the contexts of the corpus, PMI(c;t) = log p(c,t) / (p(c) p(t)). A term with PMI(c;t) >= IC(c) / alpha, IC(c) = -log p(c)
-being all there is to say about c, exceeds the disclosure threshold: in documents with c it is generalised or removed. What rests on
-few distinct contexts counts with the lower bound of its estimate.
+being all there is to say about c, exceeds the disclosure threshold: in documents with c it is generalised or removed. The estimate counts with its lower
+bound, which few distinct contexts widen.
 
 A context is a sentence or line, cut into windows of at most WINDOW words.
 """
@@ -30,9 +30,7 @@ from .session import written
 WINDOW = 64
 #: The share of an entity's information content that a term may give away is 1 / ALPHA.
 ALPHA = 1.5
-#: Distinct contexts, copies of one being one, that an entity and a term share where the estimate counts as it is. With fewer its lower bound does.
-SUPPORT = 3
-#: Normal quantile of that bound: 90% on one side.
+#: Normal quantile of the estimate's lower bound: 90% on one side.
 QUANTILE = 1.2816
 #: Terms that a task counts before it passes them on.
 HELD_TERMS = 1 << 20
@@ -128,11 +126,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counted(True)
 
 
-def disclosing(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+def disclosing(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
     """((entity, term, n_entity, n_term, n_both, n_contexts, pmi, content) of terms over the threshold, (digest, entity, term) of them by text).
 
-    All counts are of contexts, over all rows of docs. Entities and terms are hashes. Where an entity and a term share k < support distinct contexts,
-    pmi is lessened by log2 of k over the lower bound of a Poisson mean of which k were seen (Wilson and Hilferty): 3.3 bits for k = 1, 2.0 for k = 2.
+    All counts are of contexts, over all rows of docs. Entities and terms are hashes. With k distinct contexts that an entity and a term share, copies of one being one,
+    pmi is lessened by log2 of k over the lower bound of a Poisson mean of which k were seen (Wilson and Hilferty): 3.3 bits for k = 1, 2.0 for k = 2, 0.7 for k = 10.
     """
     found = written(docs.select(F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(_gather, _FOUND), "sanitise")
     here, counts = found.where("digest IS NOT NULL"), found.where("digest IS NULL")
@@ -143,7 +141,7 @@ def disclosing(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, su
     table = both.join(one, "entity").join(each, "term").crossJoin(total)
     ratio = lambda a, b: F.log2(F.col(a).cast("double") / F.col(b))
     bound = 3 * F.log2(1 - 1 / (9 * F.col("n_distinct")) - QUANTILE / (3 * F.sqrt("n_distinct")))
-    table = table.withColumns({"content": -ratio("n_entity", "n_contexts"), "pmi": ratio("n_both", "n_entity") - ratio("n_term", "n_contexts") + F.when(F.col("n_distinct") < support, bound).otherwise(0.0)})
+    table = table.withColumns({"content": -ratio("n_entity", "n_contexts"), "pmi": ratio("n_both", "n_entity") - ratio("n_term", "n_contexts") + bound})
     over = table.where(F.col("pmi") >= F.col("content") / alpha).drop("n_distinct")
     return over, here.where("term = 0").select("digest", "entity").distinct().join(over.select("entity", "term"), "entity")
 
@@ -184,13 +182,13 @@ def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(m, pa.int32())], ["doc_id", "text", "n_entities", "n_terms"])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
     """(doc_id, text, n_entities, n_terms) for each row of docs: the sanitised text, and how many places were replaced.
 
     Texts without an entity stay as they are; null texts stay null and empty ones empty. Null identifiers stay null; rows that repeat are each
     in the result, with the same text. An empty table gives no rows; further columns are not read. A term exactly at the threshold goes.
     """
-    _, by_text = disclosing(docs, text_col, alpha, support)
+    _, by_text = disclosing(docs, text_col, alpha)
     listed = by_text.groupBy("digest").agg(F.collect_set("term").alias("terms"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))

@@ -98,6 +98,29 @@ def test_shards_round_trip(spark):
     assert T.write_shards(docs.where("false")).count() == 0
 
 
+def test_shards_same_as_brute_force(spark, tmp_path):
+    """The query over a fixture: every entry against plainly merged tokens; files read back by lookup."""
+    ranks = B.read_vocabulary()
+    texts = [*ODD[:6], *ODD[8:12], "word " * 3, "it's the same"]
+    rows = [(i * 7 - 9, t) for i, t in enumerate(texts)] + [(12, "twice"), (12, "twice"), (None, "gone"), (40, "long " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"image": F.lit(1), "min_id": F.lit(2), "tokens": F.lit("x"), "ids": F.lit(0)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = lambda t: None if t is None else [k for w in brute.pretokens(t) for k in (long if w == " long" else brute.bpe(w.encode(), ranks))]
+    long = brute.bpe(b" long", ranks)
+    key = lambda x: (x[0], x[1] is None, x[1] or [])
+    want = sorted(((i, plain(t)) for i, t in rows if i is not None), key=key)
+    shards = T.query(spark, str(tmp_path))
+    assert sorted(((r.doc_id, r.tokens) for r in T.read_shards(shards).collect()), key=key) == want
+    small = T.write_shards(docs, shard_bytes=64).cache()
+    listed = T.save_shards(small, f"{tmp_path}/shards")
+    assert listed.count() == small.count() > 3
+    ids = docs.select("doc_id").union(spark.createDataFrame([(-1000,), (1000,), (13,)], "doc_id long"))
+    for got in (T.lookup(small, ids), T.lookup(listed, ids, folder=f"{tmp_path}/shards")):
+        assert sorted(((r.doc_id, r.tokens) for r in got.collect()), key=key) == want
+    none = T.save_shards(T.write_shards(docs.where("false")), f"{tmp_path}/none")
+    assert none.count() == T.lookup(none, ids, folder=f"{tmp_path}/none").count() == 0
+
+
 def test_shard_blocks_and_filter():
     w = T.Writer()
     for i in range(0, 20_000, 2):
@@ -115,38 +138,40 @@ def test_packing_same_as_brute_force():
         assert K.pack(lengths, capacity, places) == brute.pack(lengths, capacity, places)
 
 
-def test_packed_documents(spark):
+def test_sequences_same_as_brute_force(spark, tmp_path):
+    """The query's sequences against plainly packed and encoded documents: one stream, all tokens in their places."""
+    odd = [(1_000_000 + i, t) for i, t in enumerate(ODD)] + [(None, "a b"), (3, "w " * 5000), (3, "w " * 5000)]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")).withColumns({"n": F.lit(7), "stream": F.lit(1), "bin": F.lit(2), "tokens": F.lit("x")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.text, [] if r.text is None else reference_tokens(r.text)) for r in docs.collect()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0], np.array(r[2], "<u2").tobytes()))
+    want = {}
+    for (i, _, tokens), pieces in zip(rows, brute.pack([len(r[2]) for r in rows], K.CAPACITY, K.OPEN_BINS), strict=True):
+        for k, (at, offset, start, n) in enumerate(pieces):
+            want.setdefault(f"0-{at}", []).append((offset, i, k, start, n, tokens[start : start + n]))
+    got, alone = {}, []
+    for r in K.query(spark, str(tmp_path)).collect():
+        if r.bin is None:
+            alone.append((*r.doc_ids, r.tokens, r.n_tokens))
+            continue
+        assert r.n_tokens == len(r.tokens) == sum(r.lengths) <= K.CAPACITY and r.bin not in got
+        got[r.bin] = [(sum(r.lengths[:k]), *x, r.tokens[sum(r.lengths[:k]) : sum(r.lengths[: k + 1])]) for k, x in enumerate(zip(r.doc_ids, r.pieces, r.starts, r.lengths, strict=True))]
+    assert got == {b: sorted(own) for b, own in want.items()}
+    assert sorted(alone) == sorted((i, [], 0) for i, _, t in rows if not t)
+
+
+def test_sequences_of_several_streams(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    sizes = {r.doc_id: r.n for r in docs.select("doc_id", K.n_tokens("text").alias("n")).collect()}
-    rows = K.best_fit(docs, stream_docs=64).collect()
-    own, filled = {}, {}
+    rows = K.best_fit(docs, stream_docs=64, capacity=100, open_bins=4).collect()
+    assert len({r.bin.split("-")[0] for r in rows if r.bin}) > 2
+    back = {}
     for r in rows:
-        own[r.doc_id] = own.get(r.doc_id, 0) + r.n_tokens
-        if r.bin:
-            filled.setdefault(r.bin, []).append((r.bin_offset, r.n_tokens))
-    assert own == sizes
-    for pieces in filled.values():
         at = 0
-        for a, n in sorted(pieces):
-            assert a == at
+        for i, k, n in zip(r.doc_ids, r.pieces, r.lengths, strict=True):
+            back.setdefault(i, {})[k] = r.tokens[at : at + n]
             at += n
-        assert at <= K.CAPACITY
-    odd = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, "w " * 5000), (3, "w " * 5000)], "doc_id long, text string").withColumns({"n": F.lit(7), "stream": F.lit(1), "bin": F.lit(2)})
-    got = K.best_fit(odd).collect()
-    assert sorted((r.doc_id or 0, r.piece, r.n_tokens) for r in got) == [(0, 0, 2), (1, 0, 0), (2, 0, 0)] + [(3, 0, 2048)] * 2 + [(3, 1, 2048)] * 2 + [(3, 2, 904)] * 2
-    assert K.best_fit(odd.where("false")).count() == 0
-
-
-def test_packed_lengths_are_token_counts(spark, tmp_path):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(1_000_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    want = {r.doc_id: 0 if r.text is None else len(reference_tokens(r.text)) for r in docs.collect()}
-    own, bins = {}, {}
-    for r in K.query(spark, str(tmp_path)).collect():
-        own[r.doc_id] = own.get(r.doc_id, 0) + r.n_tokens
-        if r.bin:
-            bins[r.bin] = bins.get(r.bin, 0) + r.n_tokens
-    assert own == want and max(bins.values()) <= K.CAPACITY
+    assert {i: [t for k in sorted(own) for t in own[k]] for i, own in back.items()} == {r.doc_id: reference_tokens(r.text) for r in docs.collect()}
+    assert K.best_fit(docs.where("false")).count() == 0
 
 
 SECRET_TEXTS = [
@@ -245,6 +270,26 @@ def test_neighbours_recall(spark):
     assert all(abs(dist - d[at[i], at[n]]) < 1e-3 for i in ids[:50] for _, n, dist in got[i])
 
 
+def test_neighbours_of_the_query_set(spark, monkeypatch):
+    """The query: vectors whose identifier is divisible by 50, against all, over several shards and blocks; a recall of 0.9 at least."""
+    monkeypatch.setattr(N, "SHARD_ROWS", 700)
+    monkeypatch.setattr(N, "QUERY_ROWS", 16)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = {}
+    for r in N.query(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.vec_id, []).append((r.distance, r.neighbour_id))
+    assert set(got) == {int(i) for i in ids if i % 50 == 0} and all(len(g) == N.K for g in got.values())
+    hits = 0
+    for i, found in got.items():
+        d = np.sqrt(((x - x[ids == i]) ** 2).sum(1))
+        d[ids == i] = np.inf
+        order = np.lexsort((ids, d))[: N.K]
+        hits += len({int(j) for j in ids[order]} & {j for _, j in found})
+        assert np.allclose(sorted(t for t, _ in found), sorted(d[ids == j][0] for _, j in found), atol=1e-3)
+    assert hits >= 0.9 * N.K * len(got)
+
+
 def test_neighbours_over_several_shards(spark, monkeypatch):
     monkeypatch.setattr(N, "SHARD_ROWS", 128)
     monkeypatch.setattr(N, "QUERY_ROWS", 100)
@@ -260,6 +305,28 @@ def test_neighbour_edges(spark):
     assert N.nearest(df.where("vec_id = 1")).count() == N.nearest(df.where("false")).count() == 0
 
 
+def test_wide_vectors_make_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARD_BYTES", 4000)
+    rows = [(i, [float(i)] * 300) for i in range(12)]
+    got = N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()
+    assert {(r.vec_id, r.neighbour_id) for r in got if r.vec_id in (0, 5)} == {(0, 1), (0, 2), (5, 4), (5, 6)}
+
+
+def test_filter_has_all_keys_and_few_others(spark, monkeypatch):
+    from astrolith.llm import session as H
+
+    keys = spark.range(0, 20_000, 2).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    for most in (H.MAX_BITS, 1 << 12):
+        monkeypatch.setattr(H, "MAX_BITS", most)
+        got = {r.id for r in spark.range(20_000).where(H.may_be_in(F.col("id"), keys)).collect()}
+        assert set(range(2, 20_000, 2)) <= got and (most < 1 << 20 or len(got) < 10_200)
+    docs = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (None, "a", 5), (2, None, 5)], "id long, t string, may int")
+    gone = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a")], "k long, t string")
+    left = H.without(docs, gone, {"k": F.col("id"), "t": F.col("t")})
+    assert left.columns == docs.columns and sorted((r.id or 0, r.t or "") for r in left.collect()) == [(0, "a"), (1, "b"), (2, "")]
+    assert H.without(docs, gone.where("false"), {"k": F.col("id"), "t": F.col("t")}).count() == 4
+
+
 def test_partitions_follow_size(spark):
     from astrolith.llm.session import free, partitions
 
