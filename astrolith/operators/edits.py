@@ -72,8 +72,8 @@ def line_ranges(files: DataFrame) -> DataFrame:
     return lines.withColumn("start", start).select("file", (F.col("k") + 1).alias("line"), "start", (F.col("start") + F.octet_length("one")).alias("end"))
 
 
-def _edit(symbols: DataFrame, start: Column, end: Column, new: Column) -> DataFrame:
-    return symbols.select("file", F.lit(0).alias("k"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), new.alias("new"))
+def _edit(declarations: DataFrame, start: Column, end: Column, new: Column) -> DataFrame:
+    return declarations.select("file", F.lit(0).alias("k"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), new.alias("new"))
 
 
 def insert(anchors: DataFrame, where: str, text: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Name search, addresses, outlines and callers over symbols(id, parent, kind, path, file, s_line, e_line) and refs(source_id, name, kind, line)."""
+"""Name search, addresses, outlines and callers over declarations(id, parent, kind, path, file, s_line, e_line) and refs(source_id, name, kind, line)."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ def named(path: Column, pattern: str | Column) -> Column:
     return (path == p) | path.endswith(F.concat(F.lit("."), p))
 
 
-def search(symbols: DataFrame, patterns: list[str], kind: str | None = None, file: str | None = None, regex: bool = False, fixed: bool = False, ignore_case: bool = False, limit: int | None = 100) -> DataFrame:
-    """Symbols whose path fits all patterns: equal or a dotted suffix, a substring with fixed, a Java pattern with regex.
+def search(declarations: DataFrame, patterns: list[str], kind: str | None = None, file: str | None = None, regex: bool = False, fixed: bool = False, ignore_case: bool = False, limit: int | None = 100) -> DataFrame:
+    """Declarations whose path fits all patterns: equal or a dotted suffix, a substring with fixed, a Java pattern with regex.
 
     Rows come in the order of path, then id; limit 0 gives none, None all. Null paths never match.
     """
@@ -31,17 +31,17 @@ def search(symbols: DataFrame, patterns: list[str], kind: str | None = None, fil
         return path.contains(fold(p)) if fixed else named(path, fold(p))
 
     tests = [*map(test, patterns), *([F.col("kind") == kind] if kind else []), *([F.col("file") == file] if file else [])]
-    found = symbols.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
+    found = declarations.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
     return found if limit is None else found.orderBy("path", "id").limit(limit)
 
 
-def resolve(symbols: DataFrame, wanted: DataFrame, column: str = "wanted") -> DataFrame:
+def resolve(declarations: DataFrame, wanted: DataFrame, column: str = "wanted") -> DataFrame:
     """(wanted, status, candidates, id) for each wanted address: exact paths win over dotted suffixes; one candidate is found, more are ambiguous.
 
     An equi-join on the last segment finds candidates, so that no pair of tables is crossed. Repeated addresses count once.
     """
     asked = wanted.select(F.col(column).alias("wanted")).where("wanted IS NOT NULL").distinct()
-    pairs = asked.withColumn("leaf", paths.leaf(F.col("wanted"))).join(symbols.select("id", "path", paths.leaf(F.col("path")).alias("leaf")), "leaf").where(named(F.col("path"), F.col("wanted")))
+    pairs = asked.withColumn("leaf", paths.leaf(F.col("wanted"))).join(declarations.select("id", "path", paths.leaf(F.col("path")).alias("leaf")), "leaf").where(named(F.col("path"), F.col("wanted")))
     exact = F.col("path") == F.col("wanted")
     own = pairs.groupBy("wanted").agg(F.count_if(exact).alias("n_exact"), F.count("*").alias("n_all"), F.min(F.when(exact, F.col("id"))).alias("exact_id"), F.min("id").alias("any_id"))
     n = F.when(F.col("n_exact") > 0, F.col("n_exact")).otherwise(F.coalesce("n_all", F.lit(0)))
@@ -49,12 +49,12 @@ def resolve(symbols: DataFrame, wanted: DataFrame, column: str = "wanted") -> Da
     return asked.join(own, "wanted", "left").select("wanted", status.alias("status"), n.cast("bigint").alias("candidates"), F.when(n == 1, F.coalesce("exact_id", "any_id")).alias("id"))
 
 
-def enclosing(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
-    """For each of ranges(query, file, first, last): the symbol with exactly that span, else the smallest around it, else a bare slice.
+def enclosing(declarations: DataFrame, ranges: DataFrame) -> DataFrame:
+    """For each of ranges(query, file, first, last): the declaration with exactly that span, else the smallest around it, else a bare slice.
 
     Columns: query, file, first, last, id, match. Ties go to the smaller id.
     """
-    own = symbols.select("id", F.col("file").alias("_file"), "s_line", "e_line")
+    own = declarations.select("id", F.col("file").alias("_file"), "s_line", "e_line")
     joined = ranges.join(own, (F.col("file") == F.col("_file")) & (F.col("s_line") <= F.col("first")) & (F.col("e_line") >= F.col("last")), "left")
     exact = (F.col("s_line") == F.col("first")) & (F.col("e_line") == F.col("last"))
     best = F.min(F.when(F.col("id").isNotNull(), F.struct((~exact).alias("loose"), (F.col("e_line") - F.col("s_line")).alias("span"), "id")))
@@ -62,13 +62,13 @@ def enclosing(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
     return joined.groupBy("query", "file", "first", "last").agg(best.alias("best")).select("query", "file", "first", "last", F.col("best.id").alias("id"), match.alias("match"))
 
 
-def callers(refs: DataFrame, symbols: DataFrame, names: DataFrame | str) -> DataFrame:
+def callers(refs: DataFrame, declarations: DataFrame, names: DataFrame | str) -> DataFrame:
     """(name, id, path, file, line, ref_kind) of the references to the last segment of each name."""
     if isinstance(names, str):
         hits = refs.where(F.col("name") == names.rsplit(".", 1)[-1])
     else:
         hits = refs.join(names.select(paths.leaf(F.col("name")).alias("name")).distinct(), "name", "left_semi")
-    return hits.join(symbols, F.col("source_id") == F.col("id")).select("name", "id", "path", "file", F.col("line"), refs["kind"].alias("ref_kind"))
+    return hits.join(declarations, F.col("source_id") == F.col("id")).select("name", "id", "path", "file", F.col("line"), refs["kind"].alias("ref_kind"))
 
 
 def caller_counts(refs: DataFrame) -> DataFrame:
@@ -77,27 +77,27 @@ def caller_counts(refs: DataFrame) -> DataFrame:
 
 
 def grouped_refs(refs: DataFrame) -> DataFrame:
-    """(source_id, name, kind, line, lines): the first line and all lines of each name that a symbol uses."""
+    """(source_id, name, kind, line, lines): the first line and all lines of each name that a declaration uses."""
     return refs.groupBy("source_id", "name", "kind").agg(F.min("line").alias("line"), F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def imports_used(imports: DataFrame, refs: DataFrame) -> DataFrame:
-    """Imports of a symbol whose local name its body uses."""
+    """Imports of a declaration whose local name its body uses."""
     return imports.join(refs.where("kind = 'name'").select("source_id", "name"), ["source_id", "name"], "left_semi")
 
 
-def payload(symbols: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
-    """symbols with their grouped refs and used imports as arrays, sorted by line and name; empty where there are none."""
+def payload(declarations: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
+    """declarations with their grouped refs and used imports as arrays, sorted by line and name; empty where there are none."""
     r = grouped_refs(refs).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line", "name", "kind", "lines"))).alias("refs"))
     i = imports_used(imports, refs).groupBy("source_id").agg(F.array_sort(F.collect_set(F.struct("line", "name", "source"))).alias("imports"))
-    out = symbols.join(r.withColumnRenamed("source_id", "id"), "id", "left").join(i.withColumnRenamed("source_id", "id"), "id", "left")
+    out = declarations.join(r.withColumnRenamed("source_id", "id"), "id", "left").join(i.withColumnRenamed("source_id", "id"), "id", "left")
     return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("refs", "imports")})
 
 
-def descendants(symbols: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(root, id, depth) of all symbols under each root (a row of symbols itself, depth 0, included). One join a level of nesting."""
-    level = (symbols if roots is None else symbols.join(roots.select("id").distinct(), "id", "left_semi")).select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    edges = symbols.where("parent IS NOT NULL").select(F.col("id").alias("child"), F.col("parent").alias("id"))
+def descendants(declarations: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(root, id, depth) of all declarations under each root (a row of declarations itself, depth 0, included). One join a level of nesting."""
+    level = (declarations if roots is None else declarations.join(roots.select("id").distinct(), "id", "left_semi")).select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
+    edges = declarations.where("parent IS NOT NULL").select(F.col("id").alias("child"), F.col("parent").alias("id"))
     out = level = cut(level)
     while True:
         level = cut(level.join(edges, "id").select("root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")))
@@ -106,29 +106,29 @@ def descendants(symbols: DataFrame, roots: DataFrame | None = None) -> DataFrame
         out = out.union(level)
 
 
-def outline(symbols: DataFrame) -> DataFrame:
-    """symbols with depth and position: the order, within a file, in which a tree is read."""
-    depth = descendants(symbols, symbols.where("parent IS NULL")).select("id", "depth")
+def outline(declarations: DataFrame) -> DataFrame:
+    """declarations with depth and position: the order, within a file, in which a tree is read."""
+    depth = descendants(declarations, declarations.where("parent IS NULL")).select("id", "depth")
     place = F.row_number().over(Window.partitionBy("file").orderBy("s_line", "depth", "id"))
-    return symbols.join(depth, "id").withColumn("position", place)
+    return declarations.join(depth, "id").withColumn("position", place)
 
 
-def owners(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """(name, path, id) of the symbols that declare each referenced name."""
-    return symbols.withColumn("name", paths.leaf(F.col("path"))).join(refs.select("name").distinct(), "name", "left_semi").select("name", "path", "id")
+def owners(declarations: DataFrame, refs: DataFrame) -> DataFrame:
+    """(name, path, id) of the declarations that declare each referenced name."""
+    return declarations.withColumn("name", paths.leaf(F.col("path"))).join(refs.select("name").distinct(), "name", "left_semi").select("name", "path", "id")
 
 
-def rename_candidates(symbols: DataFrame, refs: DataFrame, imports: DataFrame, name: str) -> DataFrame:
+def rename_candidates(declarations: DataFrame, refs: DataFrame, imports: DataFrame, name: str) -> DataFrame:
     """(file, why) of the files that declare, use or import a name."""
-    files = symbols.select("id", "file")
-    declares = symbols.where(paths.leaf(F.col("path")) == name).select("file", F.lit("declares").alias("why"))
+    files = declarations.select("id", "file")
+    declares = declarations.where(paths.leaf(F.col("path")) == name).select("file", F.lit("declares").alias("why"))
     tied = lambda df, why: df.where(F.col("name") == name).select(F.col("source_id").alias("id")).join(files, "id").select("file", F.lit(why).alias("why"))
     return declares.union(tied(refs, "uses")).union(tied(imports, "imports")).distinct()
 
 
-def delete_guard(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """(id, n_callers, blocked): callers of each symbol's last segment, but for the symbol itself."""
-    own = symbols.select("id", paths.leaf(F.col("path")).alias("name"))
+def delete_guard(declarations: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, n_callers, blocked): callers of each declaration's last segment, but for the declaration itself."""
+    own = declarations.select("id", paths.leaf(F.col("path")).alias("name"))
     hits = own.join(refs.select("name", "source_id").distinct(), "name").where("source_id <> id").groupBy("id").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     return own.join(hits, "id", "left").select("id", n.alias("n_callers"), (n > 0).alias("blocked"))

@@ -75,10 +75,10 @@ def export_usage(scan: DataFrame, modules: DataFrame) -> DataFrame:
     return exports.join(hits.groupBy("file", "name").agg(F.array_sort(F.collect_set("importer")).alias("used_by")), ["file", "name"], "left").withColumn("used_by", F.coalesce("used_by", F.array().cast("array<string>")))
 
 
-def index_stats(files: DataFrame, symbols: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
-    """One row of counts: files, symbols, refs, imports, and distinct strings among paths and names."""
-    strings = symbols.select("path").union(refs.select("name")).union(imports.select("name")).distinct()
-    parts = [df.agg(F.count("*").alias(n)) for n, df in (("files", files), ("symbols", symbols), ("refs", refs), ("imports", imports), ("strings", strings))]
+def index_stats(files: DataFrame, declarations: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
+    """One row of counts: files, declarations, refs, imports, and distinct strings among paths and names."""
+    strings = declarations.select("path").union(refs.select("name")).union(imports.select("name")).distinct()
+    parts = [df.agg(F.count("*").alias(n)) for n, df in (("files", files), ("declarations", declarations), ("refs", refs), ("imports", imports), ("strings", strings))]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)

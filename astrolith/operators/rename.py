@@ -82,7 +82,7 @@ def places(source: str, leaf: str, owner: str | None, unique: bool) -> list[tupl
 
 
 def rename_places(files: DataFrame, path: str, owners: int, member: bool) -> DataFrame:
-    """PLACES of the last segment of path in files(file, content). member: its parent is a class. owners: symbols with that last segment.
+    """PLACES of the last segment of path in files(file, content). member: its parent is a class. owners: declarations with that last segment.
 
     Files that don't parse have one unresolved row without a place.
     """

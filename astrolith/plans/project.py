@@ -11,7 +11,7 @@ _ORDER = "CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signu
 _HALF, _THIRD = "CAST(floor(c_custkey / 2) AS BIGINT)", "CAST(floor(c_custkey / 3) AS BIGINT)"
 VIEWS = {
     "files": "SELECT source || '/' || lang || '/d' || doc_id || '.txt' AS file, lang AS language, text AS content FROM {documents}",
-    "symbols": """
+    "declarations": """
         WITH m AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS parent, r_name || '.' || n_name || '.' || c_name AS path, r_name || '.py' AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, c_custkey) AS rn, r_regionkey AS rk, n_nationkey AS nk, r_name, n_name
                    FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey)
         SELECT id, parent, 'method' AS kind, path, file, CAST(10 * rn AS BIGINT) AS s_line, CAST(10 * rn + 8 AS BIGINT) AS e_line FROM m

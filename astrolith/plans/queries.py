@@ -90,47 +90,47 @@ def line_ranges(files):
     return edits_module.line_ranges(files.withColumn("content", F.encode("content", "UTF-8"))).select("file", F.col("line").cast("bigint").alias("line"), "start", "end")
 
 
-@query("SELECT id, path, kind FROM v_symbols WHERE path = 'NATION_7' OR path LIKE '%.NATION\\_7' ESCAPE '\\' ORDER BY path, id LIMIT 100")
-def search_suffix(symbols):
-    return lookup.search(symbols, ["NATION_7"]).select("id", "path", "kind")
+@query("SELECT id, path, kind FROM v_declarations WHERE path = 'NATION_7' OR path LIKE '%.NATION\\_7' ESCAPE '\\' ORDER BY path, id LIMIT 100")
+def search_suffix(declarations):
+    return lookup.search(declarations, ["NATION_7"]).select("id", "path", "kind")
 
 
-@query("SELECT id, path, kind FROM v_symbols WHERE regexp_matches(path, 'NATION_1[0-9]') AND regexp_matches(path, '#0+[0-9]+7$') AND kind = 'method'")
-def search_regex(symbols):
-    return lookup.search(symbols, ["NATION_1[0-9]", "#0+[0-9]+7$"], kind="method", regex=True, limit=None).select("id", "path", "kind")
+@query("SELECT id, path, kind FROM v_declarations WHERE regexp_matches(path, 'NATION_1[0-9]') AND regexp_matches(path, '#0+[0-9]+7$') AND kind = 'method'")
+def search_regex(declarations):
+    return lookup.search(declarations, ["NATION_1[0-9]", "#0+[0-9]+7$"], kind="method", regex=True, limit=None).select("id", "path", "kind")
 
 
-@query("SELECT id, path, kind FROM v_symbols WHERE contains(lower(path), 'asia.nation') AND file = 'ASIA.py'")
-def search_fixed(symbols):
-    return lookup.search(symbols, ["aSiA.Nation"], file="ASIA.py", fixed=True, ignore_case=True, limit=None).select("id", "path", "kind")
+@query("SELECT id, path, kind FROM v_declarations WHERE contains(lower(path), 'asia.nation') AND file = 'ASIA.py'")
+def search_fixed(declarations):
+    return lookup.search(declarations, ["aSiA.Nation"], file="ASIA.py", fixed=True, ignore_case=True, limit=None).select("id", "path", "kind")
 
 
-@query("""WITH w AS (SELECT path AS wanted FROM v_symbols UNION SELECT string_split(path, '.')[-1] FROM v_symbols UNION SELECT 'none.' || id FROM v_symbols),
-p AS (SELECT wanted, id, path = wanted AS ex FROM w JOIN v_symbols ON string_split(path, '.')[-1] = string_split(wanted, '.')[-1] AND (path = wanted OR ends_with(path, '.' || wanted))),
+@query("""WITH w AS (SELECT path AS wanted FROM v_declarations UNION SELECT string_split(path, '.')[-1] FROM v_declarations UNION SELECT 'none.' || id FROM v_declarations),
+p AS (SELECT wanted, id, path = wanted AS ex FROM w JOIN v_declarations ON string_split(path, '.')[-1] = string_split(wanted, '.')[-1] AND (path = wanted OR ends_with(path, '.' || wanted))),
 g AS (SELECT wanted, count(*) FILTER (ex) AS e, count(*) AS n, min(id) FILTER (ex) AS ei, min(id) AS ai FROM p GROUP BY wanted),
 c AS (SELECT w.wanted, coalesce(CASE WHEN e > 0 THEN e ELSE n END, 0) AS candidates, coalesce(ei, ai) AS id FROM w LEFT JOIN g USING (wanted))
 SELECT wanted, CASE WHEN candidates = 0 THEN 'not_found' WHEN candidates = 1 THEN 'found' ELSE 'ambiguous' END AS status, candidates, CASE WHEN candidates = 1 THEN id END AS id FROM c""")
-def resolve_addresses(symbols):
-    wanted = symbols.select(F.col("path").alias("wanted")).union(symbols.select(paths.leaf(F.col("path")))).union(symbols.select(F.concat(F.lit("none."), "id")))
-    return lookup.resolve(symbols, wanted)
+def resolve_addresses(declarations):
+    wanted = declarations.select(F.col("path").alias("wanted")).union(declarations.select(paths.leaf(F.col("path")))).union(declarations.select(F.concat(F.lit("none."), "id")))
+    return lookup.resolve(declarations, wanted)
 
 
-@query("""WITH q AS (SELECT id || '?' AS query, file, s_line + 1 AS first, e_line - 1 AS last FROM v_symbols UNION ALL SELECT id, file, s_line, e_line FROM v_symbols),
-r AS (SELECT query, q.file, first, last, id, NOT (s_line = first AND e_line = last) AS loose, row_number() OVER (PARTITION BY query, q.file, first, last ORDER BY NOT (s_line = first AND e_line = last), e_line - s_line, id) AS k FROM q LEFT JOIN v_symbols AS s ON q.file = s.file AND s_line <= first AND e_line >= last)
+@query("""WITH q AS (SELECT id || '?' AS query, file, s_line + 1 AS first, e_line - 1 AS last FROM v_declarations UNION ALL SELECT id, file, s_line, e_line FROM v_declarations),
+r AS (SELECT query, q.file, first, last, id, NOT (s_line = first AND e_line = last) AS loose, row_number() OVER (PARTITION BY query, q.file, first, last ORDER BY NOT (s_line = first AND e_line = last), e_line - s_line, id) AS k FROM q LEFT JOIN v_declarations AS s ON q.file = s.file AND s_line <= first AND e_line >= last)
 SELECT query, id, CASE WHEN id IS NULL THEN 'slice' WHEN loose THEN 'enclosing' ELSE 'exact' END AS match FROM r WHERE k = 1""")
-def enclosing_symbols(symbols):
-    ranges = symbols.select(F.concat("id", F.lit("?")).alias("query"), "file", (F.col("s_line") + 1).alias("first"), (F.col("e_line") - 1).alias("last")).union(symbols.select("id", "file", "s_line", "e_line"))
-    return lookup.enclosing(symbols, ranges).select("query", "id", "match")
+def enclosing_declarations(declarations):
+    ranges = declarations.select(F.concat("id", F.lit("?")).alias("query"), "file", (F.col("s_line") + 1).alias("first"), (F.col("e_line") - 1).alias("last")).union(declarations.select("id", "file", "s_line", "e_line"))
+    return lookup.enclosing(declarations, ranges).select("query", "id", "match")
 
 
-@query("SELECT name, id, path, file, line, r.kind AS ref_kind FROM v_refs AS r JOIN v_symbols AS s ON source_id = id")
-def callers(refs, symbols):
-    return lookup.callers(refs, symbols, refs.select("name"))
+@query("SELECT name, id, path, file, line, r.kind AS ref_kind FROM v_refs AS r JOIN v_declarations AS s ON source_id = id")
+def callers(refs, declarations):
+    return lookup.callers(refs, declarations, refs.select("name"))
 
 
-@query("SELECT name, id, path, file, line, r.kind AS ref_kind FROM v_refs AS r JOIN v_symbols AS s ON source_id = id WHERE name = 'p7'")
-def callers_of_one(refs, symbols):
-    return lookup.callers(refs, symbols, "catalogue.p7")
+@query("SELECT name, id, path, file, line, r.kind AS ref_kind FROM v_refs AS r JOIN v_declarations AS s ON source_id = id WHERE name = 'p7'")
+def callers_of_one(refs, declarations):
+    return lookup.callers(refs, declarations, "catalogue.p7")
 
 
 @query("SELECT name, count(*) AS n_refs, count(DISTINCT source_id) AS n_callers FROM v_refs GROUP BY name")
@@ -150,36 +150,36 @@ def imports_used(imports, refs):
 
 @query("""WITH g AS (SELECT source_id, name, kind, min(line) AS line FROM v_refs GROUP BY source_id, name, kind), r AS (SELECT source_id, string_agg(line || ':' || name || ':' || kind, ',' ORDER BY line, name, kind) AS refs FROM g GROUP BY source_id),
 u AS (SELECT DISTINCT source_id, line, name, source FROM v_imports AS i SEMI JOIN (SELECT * FROM v_refs WHERE kind = 'name') AS x USING (source_id, name)), i AS (SELECT source_id, string_agg(line || ':' || name || ':' || source, ',' ORDER BY line, name, source) AS imports FROM u GROUP BY source_id)
-SELECT id, coalesce(refs, '') AS refs, coalesce(imports, '') AS imports FROM v_symbols LEFT JOIN r ON id = r.source_id LEFT JOIN i ON id = i.source_id""")
-def symbol_payloads(symbols, refs, imports):
+SELECT id, coalesce(refs, '') AS refs, coalesce(imports, '') AS imports FROM v_declarations LEFT JOIN r ON id = r.source_id LEFT JOIN i ON id = i.source_id""")
+def declaration_payloads(declarations, refs, imports):
     join = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in f])), ",").alias(c)
-    return lookup.payload(symbols, refs, imports).select("id", join("refs", "line", "name", "kind"), join("imports", "line", "name", "source"))
+    return lookup.payload(declarations, refs, imports).select("id", join("refs", "line", "name", "kind"), join("imports", "line", "name", "source"))
 
 
-@query("""WITH d AS (SELECT id, file, s_line, CASE kind WHEN 'module' THEN 0 WHEN 'class' THEN 1 ELSE 2 END AS depth FROM v_symbols) SELECT id, file, CAST(depth AS INT) AS depth, CAST(row_number() OVER (PARTITION BY file ORDER BY s_line, depth, id) AS INT) AS position FROM d""")
-def outline(symbols):
-    return lookup.outline(symbols).select("id", "file", "depth", "position")
+@query("""WITH d AS (SELECT id, file, s_line, CASE kind WHEN 'module' THEN 0 WHEN 'class' THEN 1 ELSE 2 END AS depth FROM v_declarations) SELECT id, file, CAST(depth AS INT) AS depth, CAST(row_number() OVER (PARTITION BY file ORDER BY s_line, depth, id) AS INT) AS position FROM d""")
+def outline(declarations):
+    return lookup.outline(declarations).select("id", "file", "depth", "position")
 
 
-@query("""WITH RECURSIVE d AS (SELECT id AS root, id, CAST(0 AS INT) AS depth FROM v_symbols UNION ALL SELECT d.root, s.id, CAST(d.depth + 1 AS INT) FROM d JOIN v_symbols AS s ON s.parent = d.id) SELECT root, id, depth FROM d""")
-def descendants(symbols):
-    return lookup.descendants(symbols)
+@query("""WITH RECURSIVE d AS (SELECT id AS root, id, CAST(0 AS INT) AS depth FROM v_declarations UNION ALL SELECT d.root, s.id, CAST(d.depth + 1 AS INT) FROM d JOIN v_declarations AS s ON s.parent = d.id) SELECT root, id, depth FROM d""")
+def descendants(declarations):
+    return lookup.descendants(declarations)
 
 
-@query("SELECT string_split(path, '.')[-1] AS name, path, id FROM v_symbols WHERE string_split(path, '.')[-1] IN (SELECT name FROM v_calls)")
-def name_owners(symbols, calls):
-    return lookup.owners(symbols, calls)
+@query("SELECT string_split(path, '.')[-1] AS name, path, id FROM v_declarations WHERE string_split(path, '.')[-1] IN (SELECT name FROM v_calls)")
+def name_owners(declarations, calls):
+    return lookup.owners(declarations, calls)
 
 
-@query("""WITH s AS (SELECT id, string_split(path, '.')[-1] AS name FROM v_symbols), h AS (SELECT id, count(*) AS n FROM s JOIN (SELECT DISTINCT name, source_id FROM v_calls) AS c USING (name) WHERE source_id <> id GROUP BY id)
+@query("""WITH s AS (SELECT id, string_split(path, '.')[-1] AS name FROM v_declarations), h AS (SELECT id, count(*) AS n FROM s JOIN (SELECT DISTINCT name, source_id FROM v_calls) AS c USING (name) WHERE source_id <> id GROUP BY id)
 SELECT id, coalesce(n, 0) AS n_callers, coalesce(n, 0) > 0 AS blocked FROM s LEFT JOIN h USING (id)""")
-def delete_guard(symbols, calls):
-    return lookup.delete_guard(symbols, calls)
+def delete_guard(declarations, calls):
+    return lookup.delete_guard(declarations, calls)
 
 
-@query("""SELECT DISTINCT file, 'declares' AS why FROM v_symbols WHERE string_split(path, '.')[-1] = 'NATION_3' UNION SELECT DISTINCT s.file, 'uses' FROM v_calls JOIN v_symbols AS s ON id = source_id WHERE name = 'NATION_3' UNION SELECT DISTINCT s.file, 'imports' FROM v_imports JOIN v_symbols AS s ON id = source_id WHERE name = 'NATION_3'""")
-def rename_candidates(symbols, calls, imports):
-    return lookup.rename_candidates(symbols, calls, imports, "NATION_3")
+@query("""SELECT DISTINCT file, 'declares' AS why FROM v_declarations WHERE string_split(path, '.')[-1] = 'NATION_3' UNION SELECT DISTINCT s.file, 'uses' FROM v_calls JOIN v_declarations AS s ON id = source_id WHERE name = 'NATION_3' UNION SELECT DISTINCT s.file, 'imports' FROM v_imports JOIN v_declarations AS s ON id = source_id WHERE name = 'NATION_3'""")
+def rename_candidates(declarations, calls, imports):
+    return lookup.rename_candidates(declarations, calls, imports, "NATION_3")
 
 
 @query("""WITH i AS (SELECT DISTINCT kind AS interface, name FROM v_calls), m AS (SELECT DISTINCT source_id AS type, name FROM v_calls), n AS (SELECT interface, count(*) AS need FROM i GROUP BY interface)
@@ -425,9 +425,9 @@ def dep_names(deps):
     return deps.select("name", T.dep_name(F.concat(F.lit("  "), F.upper("name"), F.lit("_X[extra]>=1.0; python_version < '4'"))).alias("dep"))
 
 
-@query("SELECT (SELECT count(*) FROM v_files) AS files, (SELECT count(*) FROM v_symbols) AS symbols, (SELECT count(*) FROM v_refs) AS refs, (SELECT count(*) FROM v_imports) AS imports, (SELECT count(*) FROM (SELECT path FROM v_symbols UNION SELECT name FROM v_refs UNION SELECT name FROM v_imports)) AS strings")
-def index_stats(files, symbols, refs, imports):
-    return metrics.index_stats(files, symbols, refs, imports)
+@query("SELECT (SELECT count(*) FROM v_files) AS files, (SELECT count(*) FROM v_declarations) AS declarations, (SELECT count(*) FROM v_refs) AS refs, (SELECT count(*) FROM v_imports) AS imports, (SELECT count(*) FROM (SELECT path FROM v_declarations UNION SELECT name FROM v_refs UNION SELECT name FROM v_imports)) AS strings")
+def index_stats(files, declarations, refs, imports):
+    return metrics.index_stats(files, declarations, refs, imports)
 
 
 @query("SELECT file, regexp_replace(file, '^[^/]*/', '') AS inner_path, string_split(file, '/')[-1] AS base, array_to_string(string_split(file, '/')[1:2], '/') AS package, starts_with(string_split(file, '/')[-1], 'd') AND file LIKE 'src1%/en/%' AS chosen FROM v_files")

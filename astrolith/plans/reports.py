@@ -37,16 +37,16 @@ def config_files(files: DataFrame) -> DataFrame:
 
 
 def build_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """Tables of files(file, content binary): classified files, the scan (written once, read by all others), symbols, refs, imports, raw and resolved edges, modules."""
+    """Tables of files(file, content binary): classified files, the scan (written once, read by all others), declarations, refs, imports, raw and resolved edges, modules."""
     classified = corpus.classify(files)
     scan = written(python_scan.scan(classified), "scan")
     names = ("path", "leaf", "kind", "s_line", "e_line", "s_byte", "e_byte", "signature", "preview", "refs")
     parent = F.when(F.col("s.parent") >= 0, F.concat_ws("#", "file", "s.parent"))
-    symbols = scan.select("file", "language", F.explode("symbols").alias("s")).select(F.concat_ws("#", "file", "s.idx").alias("id"), parent.alias("parent"), "file", "language", *[f"s.{n}" for n in names])
+    declarations = scan.select("file", "language", F.explode("declarations").alias("s")).select(F.concat_ws("#", "file", "s.idx").alias("id"), parent.alias("parent"), "file", "language", *[f"s.{n}" for n in names])
     raw = scan.select("file", F.explode("edges").alias("e")).select("file", "e.*")
     modules = graph.module_map(scan.where("language = 'Python'").select("file"))
     return {
-        "files": classified, "scan": scan, "symbols": symbols.drop("refs"), "refs": symbols.select(F.col("id").alias("source_id"), F.explode("refs").alias("r")).select("source_id", "r.*"),
+        "files": classified, "scan": scan, "declarations": declarations.drop("refs"), "refs": declarations.select(F.col("id").alias("source_id"), F.explode("refs").alias("r")).select("source_id", "r.*"),
         "imports": scan.select("file", F.explode("imports").alias("i")).select("file", "i.*"), "edges_raw": raw, "modules": modules, "edges": graph.resolve_imports(raw, modules),
     }
 

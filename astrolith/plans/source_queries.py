@@ -46,8 +46,8 @@ def source_languages(spark):
 
 
 @query(values("path, kind, s_line, e_line", "('shop.cart.Cart', 'class', 7, 19)", "('shop.cart.Cart.add', 'method', 10, 13)", "('shop.cart.Cart.clear', 'method', 15, 19)", "('shop.prices.total', 'function', 6, 13)", "('model.User', 'type', 5, 5)", "('model.User.Greet', 'method', 7, 9)", "('model.User.Save', 'method', 11, 11)", "('model.New', 'function', 13, 13)"))
-def source_symbols(spark):
-    return _tables(spark)["symbols"].select("path", "kind", "s_line", "e_line")
+def source_declarations(spark):
+    return _tables(spark)["declarations"].select("path", "kind", "s_line", "e_line")
 
 
 @query(values("file, broken", "('src/shop/__init__.py', false)", "('src/shop/cart.py', false)", "('src/shop/prices.py', false)", "('run.py', false)", "('old/script.py', false)", "('broken.py', true)", "('model/user.go', false)"))
@@ -121,12 +121,12 @@ def source_structure(spark):
 @query(values("path, file, line", "('shop.cart.Cart.add', 'src/shop/cart.py', 13)"))
 def source_callers(spark):
     t = _tables(spark)
-    return lookup.callers(t["refs"], t["symbols"], "shop.prices.total").select("path", "file", "line")
+    return lookup.callers(t["refs"], t["declarations"], "shop.prices.total").select("path", "file", "line")
 
 
 @query(values("path, signature", "('shop.cart.Cart', 'class Cart')", "('shop.prices.total', 'def total(items)')"))
 def source_signatures(spark):
-    return _tables(spark)["symbols"].where("language = 'Python' AND parent IS NULL").select("path", "signature")
+    return _tables(spark)["declarations"].where("language = 'Python' AND parent IS NULL").select("path", "signature")
 
 
 @query(values("file, bucket, line, kind", "('src/shop/cart.py', 'rewrite', 2, 'import')", "('src/shop/cart.py', 'rewrite', 13, 'name')", "('src/shop/prices.py', 'rewrite', 6, 'definition')", "('broken.py', 'unresolved', CAST(NULL AS INT), 'file')"))
@@ -148,6 +148,6 @@ def source_unused_deps(spark):
 
 @query(values("interface, type", "('Saver', 'model.User')", "('Both', 'model.User')"))
 def source_interfaces(spark):
-    own = _tables(spark)["symbols"].where("language = 'Go' AND kind = 'method'").select(F.regexp_replace("path", r"\.[^.]*$", "").alias("type"), F.col("leaf").alias("name"))
+    own = _tables(spark)["declarations"].where("language = 'Go' AND kind = 'method'").select(F.regexp_replace("path", r"\.[^.]*$", "").alias("type"), F.col("leaf").alias("name"))
     need = spark.createDataFrame([("Saver", "Save"), ("Both", "Save"), ("Both", "Greet"), ("More", "Save"), ("More", "Load")], "interface string, name string")
     return lookup.interface_impact(own, need)

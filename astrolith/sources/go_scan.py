@@ -29,7 +29,7 @@ def _word(t: str) -> bool:
 def scan_go(file: str, source: bytes) -> dict[str, Any]:
     """A row of the scan table. Unbalanced brackets or no package clause give a parse_error."""
     row: dict[str, Any] = {"file": file, "language": "Go", "length": len(source), "parse_error": None, "init_code": False}
-    row |= {k: [] for k in ("symbols", "imports", "edges", "exports", "guards", "calls", "handlers")} | {"defs": {}, "counters": None}
+    row |= {k: [] for k in ("declarations", "imports", "edges", "exports", "guards", "calls", "handlers")} | {"defs": {}, "counters": None}
     text = source.decode("utf-8", "replace")
     toks = _tokens(text)
     depth, match, stack = 0, {}, []
@@ -46,7 +46,7 @@ def scan_go(file: str, source: bytes) -> dict[str, Any]:
     if not words or toks[words[0]][0] != "package":
         return row | {"parse_error": "SyntaxError: no package clause (line 1)"}
     prefix = "/".join(file.split("/")[:-1]) or toks[words[1]][0]
-    n, k, symbols, imports = len(toks), 0, [], []
+    n, k, declarations, imports = len(toks), 0, [], []
 
     def skip(k: int) -> int:
         """After the statement at k."""
@@ -74,8 +74,8 @@ def scan_go(file: str, source: bytes) -> dict[str, Any]:
         body = [x for x in text[first[1] : end].split("\n")[1:-1] if x.strip() and not x.strip().startswith("//")][:3]
         margin = min((len(x) - len(x.lstrip()) for x in body), default=0)
         s_byte = len(text[: first[1]].encode())
-        symbols.append({
-            "idx": len(symbols), "parent": -1, "path": path, "leaf": leaf, "kind": kind, "s_line": first[2], "e_line": last[2] + last[0].count("\n"), "s_byte": s_byte, "e_byte": s_byte + len(text[first[1] : end].encode()),
+        declarations.append({
+            "idx": len(declarations), "parent": -1, "path": path, "leaf": leaf, "kind": kind, "s_line": first[2], "e_line": last[2] + last[0].count("\n"), "s_byte": s_byte, "e_byte": s_byte + len(text[first[1] : end].encode()),
             "signature": head, "preview": "\n".join(x[margin:] for x in body), "refs": [{"name": a, "kind": b, "line": c} for a, b, c in sorted(refs, key=lambda r: (r[2], r[0], r[1]))],
         })
 
@@ -133,4 +133,4 @@ def scan_go(file: str, source: bytes) -> dict[str, Any]:
                     i += 2
         k = skip(k)
     edges = [{"ord": i, "module": x["source"], "names": [], "scope": "top", "line": x["line"], "level": 0} for i, x in enumerate(imports)]
-    return row | {"symbols": symbols, "imports": imports, "edges": edges}
+    return row | {"declarations": declarations, "imports": imports, "edges": edges}

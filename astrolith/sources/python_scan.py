@@ -273,7 +273,7 @@ def preview(node: ast.AST, lines: list[str]) -> str:
     return "\n".join(x[indent:] for x in code)
 
 
-def symbols(tree: ast.Module, file: str, source: bytes) -> list[dict[str, Any]]:
+def declarations(tree: ast.Module, file: str, source: bytes) -> list[dict[str, Any]]:
     """Definitions that are children of the module or of a definition, parents before children."""
     raw = source.split(b"\n")
     starts = [0]
@@ -311,7 +311,7 @@ def module_imports(tree: ast.Module) -> list[dict[str, Any]]:
 def scan_python(file: str, source: bytes) -> dict[str, Any]:
     """A row of SCAN. What doesn't parse has a parse_error and empty lists."""
     row: dict[str, Any] = {"file": file, "language": "Python", "length": len(source), "parse_error": None, "init_code": False}
-    row |= {k: [] for k in ("symbols", "imports", "edges", "exports", "guards", "calls", "handlers")} | {"defs": {}, "counters": None}
+    row |= {k: [] for k in ("declarations", "imports", "edges", "exports", "guards", "calls", "handlers")} | {"defs": {}, "counters": None}
     try:
         tree = ast.parse(source.decode("utf-8"))
     except SyntaxError as e:
@@ -327,7 +327,7 @@ def scan_python(file: str, source: bytes) -> dict[str, Any]:
     plain = (ast.Import, ast.ImportFrom, ast.Pass)
     code = any(not isinstance(x, plain) and not (isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant)) and not (isinstance(x, ast.Assign) and all(isinstance(t, ast.Name) and t.id == "__all__" for t in x.targets)) and not (isinstance(x, ast.If) and _is_type_checking(x.test)) for x in tree.body)
     return row | {
-        "symbols": symbols(tree, file, source), "imports": module_imports(tree), "edges": import_edges(tree, file), "exports": exports(tree), "guards": guards, "calls": calls,
+        "declarations": declarations(tree, file, source), "imports": module_imports(tree), "edges": import_edges(tree, file), "exports": exports(tree), "guards": guards, "calls": calls,
         "handlers": swallowed_handlers(tree), "defs": definitions(tree), "counters": counters(tree), "init_code": code,
     }
 

@@ -55,12 +55,12 @@ def scanned(spark, tree):
 def test_python_module(spark):
     row = scanned(spark, {"src/pkg/mod.py": MODULE}).first()
     assert row.parse_error is None
-    assert [(s.path, s.kind, s.parent, s.s_line, s.e_line) for s in row.symbols] == [("pkg.mod.A", "class", -1, 9, 18), ("pkg.mod.A.m", "method", 0, 13, 18), ("pkg.mod.f", "async_function", -1, 21, 29)]
-    m = row.symbols[1]
+    assert [(s.path, s.kind, s.parent, s.s_line, s.e_line) for s in row.declarations] == [("pkg.mod.A", "class", -1, 9, 18), ("pkg.mod.A.m", "method", 0, 13, 18), ("pkg.mod.f", "async_function", -1, 21, 29)]
+    m = row.declarations[1]
     assert MODULE[m.s_byte : m.e_byte].strip().startswith(b"@deco") and MODULE[m.s_byte : m.e_byte].endswith(b"other.thing")
     assert m.preview == "z = helper(q)\nreturn z + other.thing"
     assert {(r.name, r.kind) for r in m.refs} == {("deco", "name"), ("helper", "name"), ("other", "name"), ("thing", "attr")}
-    assert row.symbols[2].signature == "async def f(a, *rest, k=1)"
+    assert row.declarations[2].signature == "async def f(a, *rest, k=1)"
     assert [(i.name, i.source) for i in row.imports] == [("os", "os"), ("p", "os.path"), ("d", "a.b.c"), ("e", "a.b.e")]
     assert [(e.module, e.names, e.scope) for e in row.edges] == [("os", [], "top"), ("os.path", [], "top"), ("a.b", ["c", "e"], "top")]
     assert [(g.line, g.call) for g in row.guards] == [(35, "f()"), (36, "d.go()")]
@@ -78,7 +78,7 @@ def test_python_module(spark):
 def test_broken_and_empty_files(spark):
     got = {r.file: r for r in scanned(spark, {"a.py": b"def (:\n", "b.py": b"\xff\xfe", "c.py": b"", "d.go": b"package x\nfunc ("}).collect()}
     assert got["a.py"].parse_error.startswith("SyntaxError") and got["b.py"].parse_error.startswith("UnicodeDecodeError")
-    assert got["c.py"].parse_error is None and got["c.py"].symbols == [] and "isn't closed" in got["d.go"].parse_error
+    assert got["c.py"].parse_error is None and got["c.py"].declarations == [] and "isn't closed" in got["d.go"].parse_error
     none = spark.createDataFrame([("x.py", None, "Python"), ("y.rs", b"fn", "Rust")], "file string, content binary, language string")
     assert python_scan.scan(none).count() == 0
 
@@ -107,9 +107,9 @@ func (u *User) Greet(who string) string {
 func helper[T any](n T) string { return "" }
 '''
     row = scanned(spark, {"model/user.go": text}).first()
-    assert [(s.path, s.kind) for s in row.symbols] == [("model.Limit", "const"), ("model.cache", "var"), ("model.User", "type"), ("model.User.Greet", "method"), ("model.helper", "function")]
+    assert [(s.path, s.kind) for s in row.declarations] == [("model.Limit", "const"), ("model.cache", "var"), ("model.User", "type"), ("model.User.Greet", "method"), ("model.helper", "function")]
     assert [(i.name, i.source) for i in row.imports] == [("fmt", "fmt"), ("str", "strings")]
-    refs = {(r.name, r.kind) for r in row.symbols[3].refs}
+    refs = {(r.name, r.kind) for r in row.declarations[3].refs}
     assert {("helper", "name"), ("Limit", "name"), ("Sprintf", "attr"), ("fmt", "name")} <= refs and ("msg", "name") not in refs and ("who", "name") not in refs
     assert go_scan.scan_go("x.go", b"// only\n")["parse_error"]
 

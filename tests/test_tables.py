@@ -106,9 +106,9 @@ def test_settings(spark):
 
 
 def test_saved_tables(spark, tmp_path):
-    t = {"symbols": spark.createDataFrame([("a", 1)], "path string, n int")}
+    t = {"declarations": spark.createDataFrame([("a", 1)], "path string, n int")}
     incremental.save_index(t, str(tmp_path / "i"), "/root")
-    assert incremental.load_index(spark, str(tmp_path / "i"), "/root")["symbols"].collect() == t["symbols"].collect()
+    assert incremental.load_index(spark, str(tmp_path / "i"), "/root")["declarations"].collect() == t["declarations"].collect()
     assert incremental.load_index(spark, str(tmp_path / "i"), "/other") is None and incremental.load_index(spark, str(tmp_path / "none"), "/root") is None
 
 
@@ -154,8 +154,8 @@ def test_reports(spark, tmp_path):
 
     tree = {"app.py": "from core import run\nimport requests\nrequests.get('x')\nrun()\n", "core.py": "def run():\n    '''Doc.'''\n    return helper()\n\n\nclass K:\n    def m(self): return run()\n", "lonely.py": "x = 1\n", "go.mod": "module x", "Dockerfile": "FROM x"}
     t = reports.build_tables(store(spark, tree))
-    assert sorted((r.path, r.kind, r.parent) for r in t["symbols"].collect()) == [("core.K", "class", None), ("core.K.m", "method", "core.py#1"), ("core.run", "function", None)]
-    assert [(r.path, r.ref_kind) for r in lookup.callers(t["refs"], t["symbols"], "core.run").orderBy("path").collect()] == [("core.K", "name")] * 0 + [("core.K.m", "name")]
+    assert sorted((r.path, r.kind, r.parent) for r in t["declarations"].collect()) == [("core.K", "class", None), ("core.K.m", "method", "core.py#1"), ("core.run", "function", None)]
+    assert [(r.path, r.ref_kind) for r in lookup.callers(t["refs"], t["declarations"], "core.run").orderBy("path").collect()] == [("core.K", "name")] * 0 + [("core.K.m", "name")]
     assert [tuple(r) for r in t["edges"].collect()] == [("app.py", "core.py")]
     deps = spark.createDataFrame([("requests",), ("flask",)], "name string")
     found = reports.audit(spark, t, deps)
