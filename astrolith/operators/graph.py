@@ -29,6 +29,11 @@ def module_map(files: DataFrame) -> DataFrame:
     return names.groupBy("module").agg(F.max("file").alias("file"))
 
 
+def package_map(scan: DataFrame) -> DataFrame:
+    """(module, file): import paths of Go packages and, of each, the last of its files."""
+    return scan.where("language = 'Go' AND module <> ''").groupBy("module").agg(F.max("file").alias("file"))
+
+
 def resolve_imports(edges_raw: DataFrame, modules: DataFrame) -> DataFrame:
     """Distinct edges(src, dst) of edges_raw(file, ord, module, names, scope): names that are modules lead to their files, other names to the module."""
     live = edges_raw.where("scope <> 'type_checking'").select("file", "ord", "module", "names")
@@ -92,7 +97,7 @@ def coupling(edges: DataFrame, depth: int = 1) -> DataFrame:
 def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Distinct (src, dst) such that a path of one or more edges leads from src to dst; starts(src) keeps only those sources.
 
-    A node on a cycle reaches itself. Only pairs that the last round found are joined again.
+    A node on a cycle reaches itself. Only pairs that the last round found are joined again, and each round writes no more than them.
     """
     e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     new = e if starts is None else cut(e.join(starts.select("src").distinct(), "src", "left_semi"))
@@ -103,7 +108,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         new = cut(found.join(out, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return out
-        out = cut(out.union(new))
+        out = out.union(new)
 
 
 def blast(edges: DataFrame, target: object) -> DataFrame:
@@ -125,25 +130,65 @@ def importer_counts(edges: DataFrame, reach: DataFrame | None = None) -> DataFra
     return own.select(F.col("dst").alias("node"), n.alias("direct"), (F.col("total") - n).alias("transitive"))
 
 
+def _acyclic_rounds(e: DataFrame, first: DataFrame, best: Column) -> DataFrame:
+    """first(node, r, b), and for each r from 1 on the nodes from which a path of exactly r edges of e leads, with the least of best, a column of the node src and the b of its successor.
+
+    A round reads and writes only the nodes that have such a path, so that all rounds together cost one row for each node and length of its paths. e has no cycle.
+    """
+    out = now = first
+    while True:
+        now = cut(e.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), (F.col("r") + 1).alias("r")).agg(F.min(best).alias("b")))
+        if now.isEmpty():
+            return out
+        out = out.union(now)
+
+
 def longest_chains(edges: DataFrame) -> DataFrame:
-    """(node, length): edges on the longest path from each node of an acyclic graph; nodes that only end edges have 0.
+    """(node, length): edges on the longest path from each node; nodes that only end edges have 0. Files of one cycle count as one, as in deep_chains()."""
+    group, e = condensed(edges)
+    first = group.select(F.col("component").alias("node")).distinct().select("node", F.lit(0).alias("r"), F.lit(0).alias("b"))
+    best = _acyclic_rounds(e, first, F.lit(0)).groupBy("node").agg(F.max("r").alias("length"))
+    return group.join(best.withColumnRenamed("node", "component"), "component").select("node", "length")
+
 
-    Each round lengthens the paths of nodes whose successors grew, so that rounds equal the longest path. A cycle raises ValueError.
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, component), edges between components): component is the least node of those that reach each other.
+
+    Nodes that no cycle runs through are peeled off from both ends first, so that pairs of nodes are only formed within what is left.
     """
-    e = cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
+    core, n = e, e.count()
+    while n:
+        left = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        m = left.count()
+        core, n, done = left, m, m == n
+        if done:
+            break
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    n = nodes.count()
-    best = cut(nodes.withColumn("length", F.lit(0)))
-    grown, rounds = best, 0
-    while not grown.isEmpty():
-        rounds += 1
-        if rounds > n + 1:
-            raise ValueError("the graph has a cycle")
-        new = e.join(grown.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("length") + 1).alias("new"))
-        both = cut(best.join(new, "node", "left").select("node", "length", F.greatest("length", "new").alias("now")))
-        grown = both.where("now > length").select("node", F.col("now").alias("length"))
-        best = both.select("node", F.col("now").alias("length"))
-    return best
+    if not n:
+        return nodes.withColumn("component", F.col("node")), e
+    reach = closure(core)
+    least = reach.intersect(reverse(reach)).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
+    group = cut(nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component")))
+    name = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
+    return group, cut(e.join(name("src"), "src").join(name("dst"), "dst").where("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct())
+
+
+def deep_chains(edges: DataFrame, least: int = THRESHOLDS["deep_chains"][0], thresholds: dict[str, tuple[int, int, int]] = THRESHOLDS) -> DataFrame:
+    """(node, length, chain, severity) of the longest import chain from each node that imports something, from least on.
+
+    __init__ files are passed through but neither counted nor listed. Files of one cycle count once, as the least of them. Of chains of one length the first in the order of names is
+    taken; a node has one chain.
+    """
+    group, e = condensed(edges)
+    own = lambda c: F.when(paths.is_init(c), F.array().cast("array<string>")).otherwise(F.array(c))
+    first = group.select(F.col("component").cast("string").alias("node")).distinct().select("node", F.lit(0).alias("r"), F.struct((-F.size(own(F.col("node")))).alias("n"), own(F.col("node")).alias("chain")).alias("b"))
+    longer = F.struct((F.col("b.n") - F.size(own(F.col("src")))).alias("n"), F.concat(own(F.col("src")), F.col("b.chain")).alias("chain"))
+    e = e.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    best = _acyclic_rounds(e, first, longer).groupBy("node").agg(F.min("b").alias("b")).select(F.col("node").alias("component"), (-F.col("b.n")).alias("length"), F.col("b.chain").alias("chain"))
+    starts = edges.select(F.col("src").cast("string").alias("node")).distinct()
+    found = group.select(F.col("node").cast("string").alias("node"), F.col("component").cast("string").alias("component")).join(starts, "node", "left_semi").join(best, "component").where(F.col("length") >= least)
+    return found.select("node", "length", "chain", classified(F.col("length"), "deep_chains", thresholds).alias("severity"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,14 +225,26 @@ def on_cycles(reach: DataFrame) -> DataFrame:
     return reach.intersect(back).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size")).join(reach.where("src = dst").select(F.col("src").alias("node")), "node", "left_semi")
 
 
-def summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: total, connected and orphan nodes, and distinct edges. nodes has node."""
+def summary(edges: DataFrame, nodes: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """One row: total, connected and orphan nodes, and distinct edges; with deep_chains() rows, the length of the longest too. nodes has node."""
     tied = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("tied", F.lit(1))
     counts = nodes.select("node").distinct().join(tied, "node", "left").agg(F.count("*").alias("total"), F.count("tied").alias("connected"))
-    return counts.crossJoin(edges.distinct().agg(F.count("*").alias("edges"))).select("total", "connected", (F.col("total") - F.col("connected")).alias("orphans"), "edges")
+    one = counts.crossJoin(edges.distinct().agg(F.count("*").alias("edges"))).select("total", "connected", (F.col("total") - F.col("connected")).alias("orphans"), "edges")
+    return one if chains is None else one.crossJoin(chains.agg(F.coalesce(F.max("length"), F.lit(0)).alias("longest_chain")))
 
 
 def chain_heads(chains: DataFrame, least: int = THRESHOLDS["deep_chains"][0]) -> DataFrame:
     """(node, length, severity) of chains from least on, one a head."""
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("length")))
     return chains.withColumn("_k", best).where((F.col("_k") == 1) & (F.col("length") >= least)).select("node", "length", classified(F.col("length"), "deep_chains").alias("severity"))
+
+
+def import_names(edges_raw: DataFrame, modules: DataFrame) -> DataFrame:
+    """(file, name, source_module, source_file, scope) of each name that an import asks for: the file of the submodule that the name is, else of the module, else an empty one.
+
+    An import without names stands for its module's last segment.
+    """
+    each = edges_raw.select("file", "module", "scope", F.explode_outer(F.when(F.size("names") > 0, F.col("names"))).alias("asked"))
+    sub = F.when(F.col("asked").isNotNull(), F.when(F.col("module") == "", F.col("asked")).otherwise(F.concat_ws(".", "module", "asked")))
+    found = each.withColumn("sub", sub).join(modules.select(F.col("module").alias("sub"), F.col("file").alias("sub_file")), "sub", "left").join(modules.withColumnRenamed("file", "own_file"), "module", "left")
+    return found.select("file", F.coalesce("asked", paths.leaf(F.col("module"))).alias("name"), F.col("module").alias("source_module"), F.coalesce("sub_file", "own_file", F.lit("")).alias("source_file"), "scope")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
+from .ranges import holding
+
 REBUILD_CHANGES, COMPACT_DEAD, COMPACT_SHARE = 200, 100, 0.3
 
 
@@ -42,9 +50,8 @@ def covering(log: DataFrame, asked: DataFrame) -> DataFrame:
     """The latest read that covers each of asked(query, file, first, last): query, file, start, end, served_at, served_mtime.
 
     log has read_id, file, start, end, served_at, served_mtime. Queries that nothing covers have no row; ties go to the larger read_id.
-    The join is on the file; the range is tested within it.
     """
-    own = asked.join(log, "file").where((F.col("start") <= F.col("first")) & (F.col("end") >= F.col("last")))
+    own = holding(log, asked, "start", "end", "first", "last")
     best = F.max(F.struct("served_at", "read_id", "start", "end", "served_mtime")).alias("b")
     return own.groupBy("query", "file").agg(best).select("query", "file", F.col("b.read_id").alias("read_id"), F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.served_at").alias("served_at"), F.col("b.served_mtime").alias("served_mtime"))
 
@@ -55,34 +62,59 @@ def latest_reads(log: DataFrame) -> DataFrame:
     return log.withColumn("_k", last).where("_k = 1").drop("_k")
 
 
-def invalidate(log: DataFrame, files: DataFrame) -> DataFrame:
-    return log.join(files.select("file").distinct(), "file", "left_anti")
-
-
 def preflight(asked: DataFrame, log: DataFrame, current: DataFrame, force: bool = False) -> DataFrame:
     """(query, status): ok if forced, or if a covering read saw the file's current(file, mtime); else needs_read_confirmation."""
     if force:
         return asked.select("query", F.lit("ok").alias("status"))
-    seen = asked.join(log.join(current.withColumnRenamed("mtime", "served_mtime"), ["file", "served_mtime"], "left_semi"), "file").where((F.col("start") <= F.col("first")) & (F.col("end") >= F.col("last")))
+    fresh = log.join(current.withColumnRenamed("mtime", "served_mtime"), ["file", "served_mtime"], "left_semi")
+    seen = holding(fresh.select("file", "start", "end"), asked, "start", "end", "first", "last")
     return asked.select("query").distinct().join(seen.select("query", F.lit(1).alias("hit")).distinct(), "query", "left").select("query", F.when(F.col("hit").isNotNull(), "ok").otherwise("needs_read_confirmation").alias("status"))
 
 
 def save_index(tables: dict[str, DataFrame], path: str, root: str, version: int = 1) -> None:
-    """Tables as Parquet, and then the meta table, without which load_index() takes none of them."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    """Tables as Parquet in a folder of their own, and then a meta row that names it: until that is written, load_index() takes the tables of the last save whole.
+
+    The folders of earlier saves but the last one are removed afterwards. One writer at a time.
+    """
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, root, sorted(tables))], "version int, root string, tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/_meta")
+    save = f"save-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    for name, df in tables.items():
+        df.write.option("compression", "zstd").parquet(f"{path}/{save}/{name}")
+    spark.createDataFrame([(version, root, sorted(tables), save)], _META).coalesce(1).write.mode("append").parquet(f"{path}/_meta")
+    saves = sorted(p for p in session.listed(spark, path) if p.startswith("save-"))
+    for old in saves[:-2]:
+        session.removed(spark, f"{path}/{old}")
+
 
+_META = "version int, root string, tables array<string>, save string"
 
-def load_index(spark, path: str, root: str, version: int = 1) -> dict[str, DataFrame] | None:
-    """Tables of save_index(), or None if version or root differ or nothing is there."""
-    from pyspark.errors import AnalysisException
 
+def load_index(spark: SparkSession, path: str, root: str, version: int = 1) -> dict[str, DataFrame] | None:
+    """Tables of the last whole save_index(), or None if version or root differ or nothing is there."""
     try:
-        meta = spark.read.parquet(f"{path}/_meta").first()
+        meta = spark.read.schema(_META).parquet(f"{path}/_meta").orderBy(F.desc("save")).first()
     except AnalysisException:
         return None
     if meta is None or meta["version"] != version or meta["root"] != root:
         return None
-    return {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
+    return {name: spark.read.parquet(f"{path}/{meta['save']}/{name}") for name in meta["tables"]}
+
+
+def ensure_fresh(spark: SparkSession, path: str, root: str, current: DataFrame, rebuild: Callable[[], dict[str, DataFrame]], rescan: Callable[[DataFrame], dict[str, DataFrame]], stamps: str = "stamps") -> tuple[str, dict[str, DataFrame]]:
+    """(action, tables) of a saved index brought up to current(file, mtime).
+
+    Without a save, or after more changes than policy() bears, rebuild() makes all tables; else rescan(files) gives the new rows of added and modified files, which take the place of the
+    old ones in each table by its file column. The table named stamps keeps (file, mtime). What changed is saved; a clean index is only loaded.
+    """
+    had = load_index(spark, path, root)
+    if had is None:
+        action, new = "build", rebuild()
+    else:
+        changes = session.cut(diff(had[stamps], current))
+        action = policy(changes, 0, 0).first()["action"]
+        if action == "load":
+            return action, had
+        fresh = rebuild() if action == "rebuild" else rescan(to_scan(changes))
+        new = fresh if action == "rebuild" else {name: refresh(df, changes, fresh[name]) if name in fresh else df for name, df in had.items()}
+    save_index(new | {stamps: current.select("file", "mtime")}, path, root)
+    return action, load_index(spark, path, root)

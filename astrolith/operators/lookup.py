@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..session import cut
+from . import ranges as ranges_module
 
 
 def named(path: Column, pattern: str | Column) -> Column:
@@ -54,12 +55,13 @@ def enclosing(declarations: DataFrame, ranges: DataFrame) -> DataFrame:
 
     Columns: query, file, first, last, id, match. Ties go to the smaller id.
     """
-    own = declarations.select("id", F.col("file").alias("_file"), "s_line", "e_line")
-    joined = ranges.join(own, (F.col("file") == F.col("_file")) & (F.col("s_line") <= F.col("first")) & (F.col("e_line") >= F.col("last")), "left")
+    asked = ranges.select("query", "file", "first", "last").distinct()
+    found = ranges_module.holding(declarations.select("id", "file", "s_line", "e_line"), asked, "s_line", "e_line", "first", "last")
     exact = (F.col("s_line") == F.col("first")) & (F.col("e_line") == F.col("last"))
-    best = F.min(F.when(F.col("id").isNotNull(), F.struct((~exact).alias("loose"), (F.col("e_line") - F.col("s_line")).alias("span"), "id")))
+    key = ["query", "file", "first", "last"]
+    best = found.groupBy(*key).agg(F.min(F.struct((~exact).alias("loose"), (F.col("e_line") - F.col("s_line")).alias("span"), "id")).alias("best"))
     match = F.when(F.col("best").isNull(), "slice").when(F.col("best.loose"), "enclosing").otherwise("exact")
-    return joined.groupBy("query", "file", "first", "last").agg(best.alias("best")).select("query", "file", "first", "last", F.col("best.id").alias("id"), match.alias("match"))
+    return asked.join(best, key, "left").select(*key, F.col("best.id").alias("id"), match.alias("match"))
 
 
 def callers(refs: DataFrame, declarations: DataFrame, names: DataFrame | str) -> DataFrame:
@@ -139,3 +141,16 @@ def interface_impact(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
     need = interfaces.distinct().groupBy("interface").agg(F.count("*").alias("need"))
     have = interfaces.distinct().join(methods.select("type", "name").distinct(), "name").groupBy("interface", "type").agg(F.count("*").alias("have"))
     return have.join(need, "interface").where("have = need").select("interface", "type")
+
+
+def match_files(files: DataFrame, wanted: DataFrame, loose: bool = True) -> DataFrame:
+    """(wanted, file) for each of wanted(wanted), a few names that a user gives: the file of that path, else the one that ends with it, else, if loose, the one that holds it.
+
+    Of several files that end with a name, the first is taken, or if loose the first that holds it; none gives null. The names are sent to every task, so that they have to be few.
+    """
+    asked = wanted.select("wanted").where("wanted IS NOT NULL").distinct()
+    rank = F.when(F.col("file") == F.col("wanted"), 0).when(F.col("file").endswith(F.col("wanted")), 1).when(F.contains("file", "wanted") & F.lit(loose), 2)
+    hits = files.select("file").distinct().join(F.broadcast(asked), F.contains("file", "wanted")).withColumn("rank", rank).where("rank IS NOT NULL")
+    best = hits.groupBy("wanted").agg(F.min(F.when(F.col("rank") == 0, F.col("file"))).alias("exact"), F.count_if(F.col("rank") <= 1).alias("n"), F.min(F.when(F.col("rank") == 1, F.col("file"))).alias("ends"), F.min("file").alias("holds"))
+    file = F.coalesce("exact", F.when((F.col("n") == 1) | F.lit(not loose), F.col("ends")).otherwise(F.col("holds")))
+    return asked.join(best.select("wanted", file.alias("file")), "wanted", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions import text as T
 from ..schemas import FINDING, SEVERITY
+from . import metrics
 
 SCRIPT_FILES = ["manage.py", "setup.py", "conftest.py", "main.py", "app.py", "wsgi.py", "asgi.py", "__main__.py", "**/manage.py", "**/conftest.py", "**/main.py", "**/app.py", "**/__main__.py", "**/__init__.py", "__init__.py"]
 SAFE_CALLS = ["getLogger", "TypeVar", "namedtuple", "dataclass", "filterwarnings", "simplefilter", "register", "setdefault"]
@@ -116,19 +117,51 @@ def collapsed(found: DataFrame) -> DataFrame:
 
 
 Rule = Callable[[dict[str, DataFrame]], DataFrame]
-RULES: dict[str, tuple[int, Rule]] = {}
+RULES: dict[str, tuple[int, Rule, tuple[str, ...]]] = {}
+#: Further frames that rules show beside their findings, by rule and name.
+VIEWS: dict[str, dict[str, Rule]] = {}
 
 
-def rule(name: str, priority: int) -> Callable[[Rule], Rule]:
-    """Registers a function of tables that returns findings. Further rules of a project do the same."""
+def rule(name: str, priority: int, needs: tuple[str, ...] = ()) -> Callable[[Rule], Rule]:
+    """Registers a function of tables that returns findings; without the tables that it needs it is left out. Further rules of a project do the same."""
 
     def add(f: Rule) -> Rule:
-        RULES[name] = (priority, f)
+        RULES[name] = (priority, f, needs)
         return f
 
     return add
 
 
+def rule_view(name: str, label: str) -> Callable[[Rule], Rule]:
+    """Registers a function of tables that returns a frame to look at, for the rule of that name."""
+
+    def add(f: Rule) -> Rule:
+        VIEWS.setdefault(name, {})[label] = f
+        return f
+
+    return add
+
+
+@rule("stack", 10, ("deps", "packages"))
+def _stack_findings(t: dict[str, DataFrame]) -> DataFrame:
+    found = collapsed(stack(t["deps"], t["packages"]))
+    return finding(found, "stack", F.concat_ws(": ", "category", "name"), F.col("name"), F.lit("info"), F.lit(""))
+
+
+@rule("code_structure", 20)
+def _structure_findings(t: dict[str, DataFrame]) -> DataFrame:
+    s = metrics.structure(t["scan"])
+    said = F.format_string("%d functions, %d methods, %d classes, %d lines each, %s%% typed", "functions", "methods", "classes", F.col("avg_lines").cast("bigint"), F.col("overall_pct").cast("string"))
+    return finding(s, "code_structure", said, F.lit(""), F.lit("debug"), F.lit(""))
+
+
+@rule("todos", 60, ("files",))
+def _todo_findings(t: dict[str, DataFrame]) -> DataFrame:
+    text = t["files"].where("language IS NOT NULL").select("file", F.decode("content", "UTF-8").alias("content"))
+    severity = F.when(F.col("tag") == "FIXME", "warning").otherwise("info")
+    return finding(todos(text), "todos", F.concat_ws(": ", "tag", "text"), F.col("text"), severity, F.concat_ws(":", "file", "line"))
+
+
 @rule("entrypoints", 30)
 def _entry_findings(t: dict[str, DataFrame]) -> DataFrame:
     return finding(entrypoints(t["scan"]), "entrypoints", F.lit("entry point"), F.coalesce("call", F.lit("")), F.lit("debug"), F.concat_ws(":", "file", "line"))
@@ -140,13 +173,13 @@ def _orphan_findings(t: dict[str, DataFrame]) -> DataFrame:
     return finding(found, "orphans", F.lit("nothing imports this file"), F.col("reason"), F.lit("warning"), F.col("file"))
 
 
-@rule("unused_deps", 41)
+@rule("unused_deps", 41, ("deps",))
 def _unused_findings(t: dict[str, DataFrame]) -> DataFrame:
     used = t["scan"].select(F.explode("edges").alias("e")).where("e.level = 0").select(F.col("e.module").alias("module"))
     return finding(unused_deps(t["deps"], used), "unused_deps", F.lit("no file imports this dependency"), F.col("name"), F.lit("warning"), F.lit(""))
 
 
-@rule("side_effects", 50)
+@rule("side_effects", 50, ("package_roles",))
 def _effect_findings(t: dict[str, DataFrame]) -> DataFrame:
     found = side_effects(t["scan"], t["package_roles"]).where(severity_order(F.col("severity")) >= SEVERITY["warning"])
     return finding(found, "side_effects", F.concat("call", F.lit("() runs on import")), F.col("call"), F.col("severity"), F.concat_ws(":", "file", "line"))
@@ -158,7 +191,22 @@ def _swallowed_findings(t: dict[str, DataFrame]) -> DataFrame:
     return finding(swallowed(t["scan"]), "swallowed", F.concat(F.col("type"), F.lit(" is swallowed")), F.col("context"), severity, F.concat_ws(":", "file", "line"))
 
 
+@rule_view("stack", "by_category")
+def _stack_view(t: dict[str, DataFrame]) -> DataFrame:
+    return collapsed(stack(t["deps"], t["packages"])).groupBy("category").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+@rule_view("code_structure", "coverage")
+def _structure_view(t: dict[str, DataFrame]) -> DataFrame:
+    return metrics.structure(t["scan"])
+
+
+@rule_view("todos", "by_tag")
+def _todo_view(t: dict[str, DataFrame]) -> DataFrame:
+    return todos(t["files"].where("language IS NOT NULL").select("file", F.decode("content", "UTF-8").alias("content"))).groupBy("tag").agg(F.count("*").alias("n"))
+
+
 def run(spark: SparkSession, tables: dict[str, DataFrame], disabled: Iterable[str] = ()) -> DataFrame:
     """Findings of all rules but the disabled ones, in the order of priorities."""
-    order = [f for name, (_, f) in sorted(RULES.items(), key=lambda x: (x[1][0], x[0])) if name not in set(disabled)]
+    order = [f for name, (_, f, needs) in sorted(RULES.items(), key=lambda x: (x[1][0], x[0])) if name not in set(disabled) and set(needs) <= set(tables)]
     return reduce(DataFrame.unionByName, [f(tables) for f in order], spark.createDataFrame([], FINDING))

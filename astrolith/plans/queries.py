@@ -21,14 +21,14 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Query]:
-    """Registers a function of views, which are given by the names of its parameters (spark gets the session). sql may name views as v_<name>."""
+    """Registers a function of views, which are given by the names of its parameters (spark gets the session, tree the tables of the generated source tree). sql may name views as v_<name>."""
 
     def add(f: Callable[..., DataFrame]) -> Query:
         names = f.__code__.co_varnames[: f.__code__.co_argcount]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(*[spark if n == "spark" else project.view(spark, sf_dir, n) for n in names])
+            return f(*[spark if n == "spark" else project.tables(spark, sf_dir) if n == "tree" else project.view(spark, sf_dir, n) for n in names])
 
         QUERIES[f.__name__] = run
         if sql is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, metrics, rules, simulate
+from ..operators import graph, lookup, metrics, rules, simulate
 from ..operators.config import ProjectConfig
 from ..session import written
 from ..sources import corpus, python_scan
@@ -44,34 +44,44 @@ def build_tables(files: DataFrame) -> dict[str, DataFrame]:
     parent = F.when(F.col("s.parent") >= 0, F.concat_ws("#", "file", "s.parent"))
     declarations = scan.select("file", "language", F.explode("declarations").alias("s")).select(F.concat_ws("#", "file", "s.idx").alias("id"), parent.alias("parent"), "file", "language", *[f"s.{n}" for n in names])
     raw = scan.select("file", F.explode("edges").alias("e")).select("file", "e.*")
-    modules = graph.module_map(scan.where("language = 'Python'").select("file"))
+    modules = graph.module_map(scan.where("language = 'Python'").select("file")).union(graph.package_map(scan)).groupBy("module").agg(F.max("file").alias("file"))
     return {
         "files": classified, "scan": scan, "declarations": declarations.drop("refs"), "refs": declarations.select(F.col("id").alias("source_id"), F.explode("refs").alias("r")).select("source_id", "r.*"),
         "imports": scan.select("file", F.explode("imports").alias("i")).select("file", "i.*"), "edges_raw": raw, "modules": modules, "edges": graph.resolve_imports(raw, modules),
     }
 
 
-def audit(spark: SparkSession, tables: dict[str, DataFrame], deps: DataFrame, config: ProjectConfig | None = None) -> DataFrame:
-    """Findings of all rules at the project's least severities."""
+def audit(spark: SparkSession, tables: dict[str, DataFrame], deps: DataFrame, config: ProjectConfig | None = None, packages: DataFrame | None = None) -> DataFrame:
+    """Findings of all rules at the project's least severities. packages(name, category) are the known ones, those of PACKAGES if None."""
     c = config or ProjectConfig()
     roles = spark.createDataFrame(PACKAGE_ROLES, "prefix string, severity string")
-    found = rules.run(spark, tables | {"deps": deps, "package_roles": roles}, c.disabled)
+    known = packages if packages is not None else spark.createDataFrame(PACKAGES, "name string, category string")
+    found = rules.run(spark, tables | {"deps": deps, "package_roles": roles, "packages": known}, c.disabled)
     return rules.at_least(found, c.min_severity, c.severity)
 
 
-def project_map(tables: dict[str, DataFrame], config: ProjectConfig | None = None) -> dict[str, DataFrame]:
-    """A frame for each section of a map: hotspots, fragile, leaves, coupling, cycles, and the summary. Sections end at the project's limit, 0 meaning none."""
+def project_map(tables: dict[str, DataFrame], config: ProjectConfig | None = None, target: str | None = None) -> dict[str, DataFrame]:
+    """A frame for each section of a map: hotspots, fragile, leaves, coupling, deep chains, cycles, the summary, and with target, a file's path or a part of it, what imports it.
+
+    Sections end at the project's limit, 0 meaning none.
+    """
     c = config or ProjectConfig()
     edges, scan = tables["edges"], tables["scan"]
     at = graph.THRESHOLDS | c.thresholds
     sizes = metrics.file_metrics(tables["files"].withColumn("content", F.decode("content", "UTF-8"))).select(F.col("file").alias("node"), F.col("loc").alias("lines"))
+    chains = graph.deep_chains(edges, 1, at)
     found = {
         "hotspots": graph.hotspots(edges, at["hotspots"][0]).withColumn("severity", graph.classified(F.col("fan_in"), "hotspots", at)).orderBy(F.desc("fan_in"), "file"),
         "fragile": graph.fragile(edges, scan, at["fragile"][0]).withColumn("severity", graph.classified(F.col("fan_out"), "fragile", at)).orderBy(F.desc("fan_out"), "file"),
-        "leaves": graph.leaves(edges, sizes).orderBy("lines", "node"), "coupling": graph.coupling(edges).orderBy("package", "dep"), "cycles": simulate.cycles(scan).withColumn("severity", graph.classified(F.size("chain") - 1, "cycles", at)).orderBy("component", "line", "name"),
+        "leaves": graph.leaves(edges, sizes).orderBy("lines", "node"), "coupling": graph.coupling(edges).orderBy("package", "dep"), "deep_chains": chains.where(F.col("length") >= at["deep_chains"][0]).orderBy(F.desc("length"), "node"),
+        "cycles": simulate.cycles(scan).withColumn("severity", graph.classified(F.size("chain") - 1, "cycles", at)).orderBy("component", "line", "name"),
     }
     cut = {k: df.limit(c.map_limit) if c.map_limit else df for k, df in found.items()}
-    return cut | {"summary": graph.summary(edges, scan.select(F.col("file").alias("node")))}
+    if target is not None:
+        hit = lookup.match_files(scan.select("file"), scan.sparkSession.createDataFrame([(target,)], "wanted string")).first()
+        if hit and hit["file"]:
+            cut["blast"] = graph.blast(edges, hit["file"]).orderBy("reach", "node")
+    return cut | {"summary": graph.summary(edges, scan.select(F.col("file").alias("node")), chains)}
 
 
 def dump(tables: dict[str, DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ EXPORT = f"struct<name:string,kind:string,line:int,lines:int,complexity:int,max_
 COUNTERS = "struct<functions:int,methods:int,classes:int,callable_lines:int,typed_functions:int,args:int,typed_args:int,attrs:int,typed_attrs:int,vars:int,typed_vars:int>"
 #: One row a file; whatever needs a syntax tree is in it.
 SCAN = (
-    f"file string, language string, length bigint, parse_error string, declarations array<{DECLARATION}>, imports array<{IMPORT}>, edges array<{EDGE}>, exports array<{EXPORT}>, "
+    f"file string, language string, module string, length bigint, parse_error string, declarations array<{DECLARATION}>, imports array<{IMPORT}>, edges array<{EDGE}>, exports array<{EXPORT}>, "
     "guards array<struct<line:int,call:string>>, calls array<struct<line:int,call:string,leaf:string>>, handlers array<struct<line:int,type:string,context:string>>, "
     f"defs map<string,int>, counters {COUNTERS}, init_code boolean"
 )

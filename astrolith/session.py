@@ -40,7 +40,41 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written as Parquet into the application's part of the shared folder and read again; clean() removes it."""
+    path = f"{shared_dir(df.sparkSession)}/{_own(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, p = _filesystem(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
+    fs, p = _filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a file or folder to a name that isn't in use, in one step where the file system has one."""
+    fs, p = _filesystem(spark, old)
+    if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)):
+        raise FileExistsError(new)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this application has written into the shared folder. Frames that read from it are of no use afterwards."""
+    removed(spark, f"{shared_dir(spark)}/{_own(spark)}")
+
+
+def _own(spark: SparkSession) -> str:
+    return f"astrolith-{spark.sparkContext.applicationId}"

@@ -5,13 +5,18 @@ from __future__ import annotations
 import re
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import paths
+
 _TOKEN = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[^\W\d]\w*|\d[\w.]*|\n|:=|[^\s\w]")
 _KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 _BUILTIN = frozenset("append cap clear close complex copy delete imag len make max min new panic print println real recover nil true false iota any bool byte comparable complex64 complex128 error float32 float64 int int8 int16 int32 int64 rune string uint uint8 uint16 uint32 uint64 uintptr".split())
 _OPEN, _CLOSE = "([{", ")]}"
 
 
-def _tokens(text: str) -> list[tuple[str, int, int]]:
+def tokens(text: str) -> list[tuple[str, int, int]]:
     """(token, start, line) without comments; new lines are kept, since they end statements."""
     out, line, at = [], 1, 0
     for m in _TOKEN.finditer(text):
@@ -26,12 +31,33 @@ def _word(t: str) -> bool:
     return (t[0].isalpha() or t[0] == "_") and t not in _KEYWORDS
 
 
-def scan_go(file: str, source: bytes) -> dict[str, Any]:
-    """A row of the scan table. Unbalanced brackets or no package clause give a parse_error."""
-    row: dict[str, Any] = {"file": file, "language": "Go", "length": len(source), "parse_error": None, "init_code": False}
+#: The module that a go.mod declares: its first line that is neither blank nor a comment says so, or it declares none.
+_MODULE = r'^(?:[ \t\r]*(?://[^\n]*)?\n)*[ \t]*module[ \t]+"?([^\s"]+)'
+
+
+def with_modules(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows(file, ...) with module: for Go, the import path of a file's folder under the nearest go.mod of files(file, content), or the folder's path without one; else null.
+
+    Folders above a file are few: an equi-join on each of them finds the go.mod, and the longest wins.
+    """
+    mods = files.where((paths.basename(F.col("file")) == "go.mod") & F.col("content").isNotNull())
+    roots = mods.select(paths.folder(F.col("file")).alias("root"), F.regexp_extract(F.decode("content", "UTF-8"), _MODULE, 1).alias("name")).where("name <> ''")
+    folders = rows.where("language = 'Go'").select(paths.folder(F.col("file")).alias("at")).distinct()
+    parts = F.split("at", "/")
+    above = F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
+    best = folders.withColumn("root", F.explode(above)).join(roots, "root").groupBy("at").agg(F.max_by(F.struct("root", "name"), F.length("root")).alias("b"))
+    rest = F.expr("substring(at, length(b.root) + 1)")
+    named = best.select("at", F.concat(F.col("b.name"), F.when((rest == "") | rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))).alias("named"))
+    at = paths.folder(F.col("file"))
+    return rows.withColumn("at", F.when(F.col("language") == "Go", at)).join(named, "at", "left").withColumn("module", F.coalesce("named", "at")).drop("at", "named")
+
+
+def scan_go(file: str, source: bytes, module: str | None = None) -> dict[str, Any]:
+    """A row of the scan table. Unbalanced brackets or no package clause give a parse_error. module is the file's import path; its folder, if None."""
+    row: dict[str, Any] = {"file": file, "language": "Go", "module": module, "length": len(source), "parse_error": None, "init_code": False}
     row |= {k: [] for k in ("declarations", "imports", "edges", "exports", "guards", "calls", "handlers")} | {"defs": {}, "counters": None}
     text = source.decode("utf-8", "replace")
-    toks = _tokens(text)
+    toks = tokens(text)
     depth, match, stack = 0, {}, []
     for k, (t, _, line) in enumerate(toks):
         if t in _OPEN:
@@ -45,7 +71,7 @@ def scan_go(file: str, source: bytes) -> dict[str, Any]:
     words = [k for k, x in enumerate(toks) if x[0] != "\n"]
     if not words or toks[words[0]][0] != "package":
         return row | {"parse_error": "SyntaxError: no package clause (line 1)"}
-    prefix = "/".join(file.split("/")[:-1]) or toks[words[1]][0]
+    prefix = row["module"] = module or "/".join(file.split("/")[:-1]) or toks[words[1]][0]
     n, k, declarations, imports = len(toks), 0, [], []
 
     def skip(k: int) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import builtins
 import re
+import textwrap
 from collections.abc import Iterator
 from typing import Any
 
@@ -99,25 +100,26 @@ def is_main_guard(node: ast.AST) -> bool:
     return any(isinstance(a, ast.Name) and a.id == "__name__" and isinstance(b, ast.Constant) and b.value == "__main__" for a, b in (sides, sides[::-1]))
 
 
+def absolute_module(file: str, level: int, module: str | None) -> str:
+    """The module that an import of a file names, level being its leading dots."""
+    if not level:
+        return module or ""
+    prefix = module_prefix(file).split(".")
+    package = prefix if file.endswith("__init__.py") else prefix[:-1]
+    return ".".join(p for p in [*package[: max(0, len(package) - level + 1)], *(module or "").split(".")] if p)
+
+
 def import_edges(tree: ast.Module, file: str) -> list[dict[str, Any]]:
     """Imports of a file in the order of its lines, with absolute modules. match and except* blocks are not entered."""
-    prefix = module_prefix(file)
-    package = prefix.split(".") if file.endswith("__init__.py") else prefix.split(".")[:-1]
     out: list[dict[str, Any]] = []
 
-    def absolute(level: int, module: str | None) -> str:
-        if not level:
-            return module or ""
-        base = package[: max(0, len(package) - level + 1)] if level > 1 else package
-        return ".".join(p for p in [*base, *(module or "").split(".")] if p)
-
     def walk(body: list[ast.stmt], scope: str) -> None:
         for x in body:
             if isinstance(x, ast.Import):
                 for a in x.names:
                     out.append({"module": a.name, "names": [], "scope": scope, "line": x.lineno, "level": 0})
             elif isinstance(x, ast.ImportFrom):
-                out.append({"module": absolute(x.level, x.module), "names": [a.name for a in x.names], "scope": scope, "line": x.lineno, "level": x.level})
+                out.append({"module": absolute_module(file, x.level, x.module), "names": [a.name for a in x.names], "scope": scope, "line": x.lineno, "level": x.level})
             elif isinstance(x, ast.If):
                 walk(x.body, "type_checking" if _is_type_checking(x.test) else scope)
                 walk(x.orelse, scope)
@@ -250,7 +252,7 @@ def exports(tree: ast.Module) -> list[dict[str, Any]]:
 
 def signature(source: bytes) -> str:
     """The head of a definition as Python writes it; the first line with anything where it doesn't parse."""
-    text = source[:SIGNATURE_BYTES].decode("utf-8", "replace") if len(source) > SIGNATURE_BYTES else source.decode("utf-8", "replace")
+    text = textwrap.dedent(source[:SIGNATURE_BYTES].decode("utf-8", "replace"))
     try:
         node = ast.parse(text).body[0]
         if isinstance(node, (*_DEF, ast.ClassDef)):
@@ -308,9 +310,9 @@ def module_imports(tree: ast.Module) -> list[dict[str, Any]]:
     return out
 
 
-def scan_python(file: str, source: bytes) -> dict[str, Any]:
+def scan_python(file: str, source: bytes, _module: str | None = None) -> dict[str, Any]:
     """A row of SCAN. What doesn't parse has a parse_error and empty lists."""
-    row: dict[str, Any] = {"file": file, "language": "Python", "length": len(source), "parse_error": None, "init_code": False}
+    row: dict[str, Any] = {"file": file, "language": "Python", "module": module_prefix(file), "length": len(source), "parse_error": None, "init_code": False}
     row |= {k: [] for k in ("declarations", "imports", "edges", "exports", "guards", "calls", "handlers")} | {"defs": {}, "counters": None}
     try:
         tree = ast.parse(source.decode("utf-8"))
@@ -338,15 +340,16 @@ _SCANNERS = {"Python": scan_python, "Go": go_scan.scan_go}
 def scan(files: DataFrame) -> DataFrame:
     """SCAN rows of files(file, language, content binary) in the languages that have a scanner; others and null contents have no row.
 
-    A file that doesn't parse has a row with parse_error. Repeated files are scanned each.
+    A file that doesn't parse has a row with parse_error. Repeated files are scanned each. The module of a Go file is its import path, if a go.mod of files lies above it.
     """
     schema = to_arrow_schema(StructType.fromDDL(SCAN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_SCANNERS[lang](file, content) for file, lang, content in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            rows = [_SCANNERS[lang](file, content, module) for file, lang, content, module in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             for i in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 256], schema=schema)
 
     wanted = F.col("language").isin(*_SCANNERS) & F.col("content").isNotNull() & F.col("file").isNotNull()
-    return files.where(wanted).select("file", "language", "content").mapInArrow(run, SCAN)
+    own = go_scan.with_modules(files.where(wanted).select("file", "language", "content"), files)
+    return own.select("file", "language", "content", "module").mapInArrow(run, SCAN)
