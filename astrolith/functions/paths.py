@@ -72,15 +72,3 @@ def address(text: Column) -> Column:
     pattern = r"^(.+?):(\d+)-(\d+)$"
     part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
     return F.struct(part(1).alias("file"), part(2).cast("int").alias("first"), part(3).cast("int").alias("last"))
-
-
-def module_of(path: Column) -> Column:
-    """Dotted module of a Python file."""
-    return F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"^(\./)?(src/)?", ""), r"\.py$", ""), r"(^|/)__init__$", ""), "/", ".")
-
-
-def absolute_module(package: Column, level: Column, module: Column) -> Column:
-    """The module of a relative import: the package without its last level - 1 parts, and the module named."""
-    parts = F.split(package, r"\.")
-    base = F.slice(parts, 1, F.greatest(F.size(parts) - (level - 1), F.lit(0)))
-    return F.when(level == 0, module).otherwise(F.array_join(F.filter(F.concat(base, F.array(module)), lambda x: x != ""), "."))

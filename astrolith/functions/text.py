@@ -44,9 +44,31 @@ def content_key(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
+def content_sha1(content: Column) -> Column:
+    return F.sha1(content)
+
+
 def is_binary(content: Column) -> Column:
-    """Whether the first 8 KB hold a NUL byte."""
-    return F.substring(content, 1, 8192).cast("string").contains("\x00")
+    """Whether the first 8 KB hold a NUL byte, or the first 1,024 bytes are no UTF-8 up to a sign that they cut."""
+    head = [F.is_valid_utf8(F.substring(content, 1, 1024 - k)) for k in range(4)]
+    return F.substring(content, 1, 8192).cast("string").contains("\x00") | ~(head[0] | ((F.octet_length(content) > 1024) & (head[1] | head[2] | head[3])))
+
+
+def encoding(content: Column) -> Column:
+    """A guess at how bytes are encoded: by a byte order mark, as UTF-8 if they are valid, else ISO-8859-1. Null for binary content without a mark."""
+    begins = lambda mark: F.hex(F.substring(content, 1, len(mark) // 2)) == mark
+    return F.when(begins("EFBBBF"), "UTF-8").when(begins("FFFE") | begins("FEFF"), "UTF-16").when(F.substring(content, 1, 8192).cast("string").contains("\x00"), None).when(F.is_valid_utf8(content), "UTF-8").otherwise("ISO-8859-1")
+
+
+def long_line_ratio(text: Column) -> Column:
+    """Signs a line, on average."""
+    return F.length(text) / F.greatest(loc(text), F.lit(1))
+
+
+def looks_generated(text: Column) -> Column:
+    """Whether a text says so in its first ten lines, or has lines of over 110 signs on average, as minified code does."""
+    head = F.lower(F.array_join(F.slice(F.split(text, "\n"), 1, 10), "\n"))
+    return head.rlike("generated by|do not edit|autogenerated|auto-generated|automatically generated") | (long_line_ratio(text) > 110)
 
 
 def body(content: Column, s_byte: Column, e_byte: Column) -> Column:

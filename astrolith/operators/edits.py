@@ -6,9 +6,18 @@ are applied or none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import ast
+import textwrap
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .. import session
+from ..functions import text as T
+from ..sources import go_scan
+from . import incremental
+
 KEEP_TRANSACTIONS = 50
 
 
@@ -77,12 +86,26 @@ def _edit(declarations: DataFrame, start: Column, end: Column, new: Column) -> D
 
 
 def insert(anchors: DataFrame, where: str, text: str) -> DataFrame:
-    """edits that put text before or after each of anchors(file, s_byte, e_byte), on lines of its own."""
+    """edits that put text before or after each of anchors, or at the start or end of its body, on lines of its own and at the indent of what is there.
+
+    anchors has file, s_byte, e_byte, col, body_byte, indent as declarations have; a body on its head's line takes nothing at its start or end. Two blank lines part definitions at the top of a
+    file, one those within another.
+    """
+    level = F.coalesce("indent" if where in ("start", "end") else "col", F.lit(0))
+    new = F.rtrim(T.reindent(F.lit(text), F.repeat(F.lit(" "), level)))
+    new = F.regexp_replace(new, r"\n+$", "")
+    gap = F.when(level == 0, "\n\n\n").otherwise("\n\n")
     if where == "before":
-        return _edit(anchors, F.col("s_byte"), F.col("s_byte"), F.lit(text.rstrip("\n") + "\n\n\n"))
+        return _edit(anchors, F.col("s_byte"), F.col("s_byte"), F.concat(new, gap))
     if where == "after":
-        return _edit(anchors, F.col("e_byte"), F.col("e_byte"), F.lit("\n\n\n" + text.rstrip("\n")))
-    raise ValueError(f"where is before or after, not {where}")
+        return _edit(anchors, F.col("e_byte"), F.col("e_byte"), F.concat(gap, new))
+    if where == "start":
+        own = anchors.where("body_byte IS NOT NULL")
+        return _edit(own, F.col("body_byte"), F.col("body_byte"), F.concat(new, F.lit("\n\n")))
+    if where == "end":
+        own = anchors.where("body_byte IS NOT NULL")
+        return _edit(own, F.col("e_byte"), F.col("e_byte"), F.concat(F.lit("\n\n"), new))
+    raise ValueError(f"where is before, after, start or end, not {where}")
 
 
 def delete(targets: DataFrame, guard: DataFrame | None = None) -> DataFrame:
@@ -92,7 +115,55 @@ def delete(targets: DataFrame, guard: DataFrame | None = None) -> DataFrame:
 
 
 def replace(targets: DataFrame, new: str) -> DataFrame:
-    return _edit(targets, F.col("s_byte"), F.col("e_byte"), F.lit(new.rstrip("\n")))
+    """edits that put new, at each target's indent, in the place of targets(file, s_byte, e_byte, col)."""
+    text = F.regexp_replace(T.reindent(F.lit(new), F.repeat(F.lit(" "), F.coalesce("col", F.lit(0)))), r"\n+$", "")
+    return _edit(targets, F.col("s_byte"), F.col("e_byte"), text)
+
+
+def described(text: str, language: str = "Python") -> tuple[str, str | None, str | None]:
+    """(status, kind, name) of a text that is to be one definition: parse_error, not_one, or ok."""
+    if language == "Go":
+        row = go_scan.scan_go("x.go", b"package x\n" + text.encode())
+        found = [(d["kind"], d["leaf"]) for d in row["declarations"]]
+        if row["parse_error"]:
+            return "parse_error", None, None
+    else:
+        try:
+            body = ast.parse(textwrap.dedent(text)).body
+        except (SyntaxError, ValueError):
+            return "parse_error", None, None
+        kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "async_function", ast.ClassDef: "class"}
+        found = [(kinds.get(type(x)), getattr(x, "name", None)) for x in body]
+    if len(found) != 1 or found[0][0] is None:
+        return "not_one", None, None
+    return "ok", *found[0]
+
+
+def checked_replace(declarations: DataFrame, targets: DataFrame, new: str, language: str = "Python") -> tuple[DataFrame, DataFrame]:
+    """(edits, (id, status)) of the replacement of targets, rows of declarations, by one definition new.
+
+    Refused with parse_error and not_one is every target, with kind_mismatch one of another kind (a method counts as a function), and with collision one whose parent has the new name
+    already. The others are ok.
+    """
+    status, kind, name = described(new, language)
+    if status != "ok":
+        return replace(targets.where("false"), new), targets.select("id", F.lit(status).alias("status"))
+    plain = F.regexp_replace("kind", "method$", "function") if language == "Python" else F.col("kind")
+    beside = F.concat(F.regexp_replace("path", r"[^.]*$", ""), F.lit(name))
+    taken = declarations.select(F.col("path").alias("_new"), F.col("id").alias("_id")).distinct()
+    hits = targets.withColumn("_new", beside).join(taken, "_new").where("_id <> id").select("id").distinct().withColumn("_taken", F.lit(True))
+    said = targets.join(hits, "id", "left").withColumn("status", F.when(plain != kind, "kind_mismatch").when(F.col("_taken"), "collision").otherwise("ok"))
+    return replace(said.where("status = 'ok'"), new), said.select("id", "status")
+
+
+def checked_insert(anchors: DataFrame, where: str, text: str, language: str = "Python") -> tuple[DataFrame, DataFrame]:
+    """(edits, (id, status)) of insert(): parse_error and not_one as in checked_replace(), not_a_container for the start or end of what is no class, no_body for a body on its head's line."""
+    status, _, _ = described(text, language)
+    if status != "ok":
+        return insert(anchors.where("false"), where, text), anchors.select("id", F.lit(status).alias("status"))
+    inside = F.lit(where in ("start", "end"))
+    said = anchors.withColumn("status", F.when(inside & (F.col("kind") != "class"), "not_a_container").when(inside & F.col("body_byte").isNull(), "no_body").otherwise("ok"))
+    return insert(said.where("status = 'ok'"), where, text), said.select("id", "status")
 
 
 def rename_words(files: DataFrame, candidates: DataFrame, old: str, new: str) -> DataFrame:
@@ -122,3 +193,31 @@ def undo(store: DataFrame, log: DataFrame) -> DataFrame:
     images = log.join(F.broadcast(last), "tx_id").select("file", "pre_image", F.lit(True).alias("_u"))
     joined = store.select("file", "content").join(images, "file", "full")
     return joined.where("_u IS NULL OR pre_image IS NOT NULL").select("file", F.when(F.col("_u"), F.col("pre_image")).otherwise(F.col("content")).alias("content"))
+
+
+def transact(spark: SparkSession, path: str, changed: DataFrame, verify: Callable[[DataFrame], bool] | None = None, keep: int = KEEP_TRANSACTIONS) -> tuple[str, int | None]:
+    """(status, tx_id) of a transaction on a stored project: changed(file, content) becomes part of it, with its log, or nothing does.
+
+    The store is an index of the tables store(file, content) and log; verify(the store after) may turn the transaction down, and an error on the way leaves the last save as it was. The newest
+    keep transactions stay in the log.
+    """
+    had = incremental.load_index(spark, path, path)
+    store = had["store"] if had else spark.createDataFrame([], "file string, content binary")
+    log = had["log"] if had else spark.createDataFrame([], "tx_id bigint, file string, pre_image binary")
+    tx = (log.agg(F.max("tx_id")).first()[0] or 0) + 1
+    after, rows = commit(store, changed, tx)
+    after = session.cut(after)
+    if verify is not None and not verify(after):
+        return "rejected", None
+    incremental.save_index({"store": after, "log": prune(log.unionByName(rows), keep)}, path, path)
+    return "ok", tx
+
+
+def undo_last(spark: SparkSession, path: str) -> tuple[str, int | None]:
+    """(status, tx_id) of taking back the newest transaction of a stored project, which leaves the log; nothing_to_undo without one."""
+    had = incremental.load_index(spark, path, path)
+    tx = had["log"].agg(F.max("tx_id")).first()[0] if had else None
+    if tx is None:
+        return "nothing_to_undo", None
+    incremental.save_index({"store": undo(had["store"], had["log"]), "log": had["log"].where(F.col("tx_id") < tx)}, path, path)
+    return "ok", tx

@@ -118,3 +118,70 @@ def ensure_fresh(spark: SparkSession, path: str, root: str, current: DataFrame,
         new = fresh if action == "rebuild" else {name: refresh(df, changes, fresh[name]) if name in fresh else df for name, df in had.items()}
     save_index(new | {stamps: current.select("file", "mtime")}, path, root)
     return action, load_index(spark, path, root)
+
+
+class ReadLog:
+    """A log of reads, READ rows, in memory or, with folder, in Parquet files that outlive the session. It answers which read covers a range."""
+
+    READ = "read_id bigint, file string, start bigint, end bigint, served_at double, served_mtime double"
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder, self._rows = spark, folder, spark.createDataFrame([], self.READ)
+
+    def rows(self) -> DataFrame:
+        if self.folder is None:
+            return self._rows
+        found = [x for x in session.listed(self.spark, self.folder) if x.startswith("r-")]
+        return self.spark.read.schema(self.READ).parquet(*[f"{self.folder}/{x}" for x in found]) if found else self.spark.createDataFrame([], self.READ)
+
+    def _put(self, rows: DataFrame) -> None:
+        half = f"{self.folder}/_half-{uuid.uuid4().hex}"
+        rows.write.parquet(half)
+        session.renamed(self.spark, half, f"{self.folder}/r-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
+
+    def add(self, rows: DataFrame) -> None:
+        own = rows.select("read_id", "file", "start", "end", "served_at", "served_mtime")
+        if self.folder is None:
+            self._rows = session.cut(self._rows.unionByName(own))
+        else:
+            self._put(own)
+
+    def _replace(self, rows: DataFrame) -> None:
+        if self.folder is None:
+            self._rows = session.cut(rows)
+            return
+        old = [x for x in session.listed(self.spark, self.folder) if x.startswith("r-")]
+        self._put(rows)
+        for x in old:
+            session.removed(self.spark, f"{self.folder}/{x}")
+
+    def invalidate(self, files: DataFrame) -> None:
+        """Forgets the reads of files(file), after they were written to."""
+        self._replace(self.rows().join(files.select("file").distinct(), "file", "left_anti").select(*self.rows().columns))
+
+    def clear(self) -> None:
+        self._replace(self.rows().where("false"))
+
+    def covering(self, asked: DataFrame) -> DataFrame:
+        return covering(self.rows(), asked)
+
+
+class Warm:
+    """A saved index held in memory for as long as its save is the last one."""
+
+    def __init__(self, spark: SparkSession, path: str, root: str):
+        self.spark, self.path, self.root, self._save, self._tables = spark, path, root, None, None
+
+    def tables(self) -> dict[str, DataFrame] | None:
+        saves = [x for x in session.listed(self.spark, self.path) if x.startswith("save-")]
+        last = saves[-1] if saves else None
+        if last != self._save or self._tables is None:
+            self.drop()
+            found = load_index(self.spark, self.path, self.root)
+            self._save, self._tables = last, {n: df.persist() for n, df in found.items()} if found else None
+        return self._tables
+
+    def drop(self) -> None:
+        for df in (self._tables or {}).values():
+            df.unpersist()
+        self._tables = None

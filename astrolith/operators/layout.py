@@ -40,6 +40,18 @@ def unified(old: str, new: str, name: str = "file", most: int | None = None) ->
     return "\n".join(lines)
 
 
+def numbered(old: str, new: str) -> str:
+    """The changed lines, each with its number in the old text (-) or the new one (+), and those that stay as they are with three dots for each run."""
+    a, b, out = old.splitlines(), new.splitlines(), []
+    width = len(str(max(len(a), len(b), 1)))
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if op == "equal":
+            out.append("...")
+            continue
+        out += [f"{n + 1:{width}} - {a[n]}" for n in range(i, j)] + [f"{n + 1:{width}} + {b[n]}" for n in range(k, m)]
+    return "\n".join(out)
+
+
 @F.pandas_udf(StringType())
 def normalised_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else normalised(t))

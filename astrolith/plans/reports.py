@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import graph, lookup, metrics, rules, simulate
 from ..operators.config import ProjectConfig
 from ..session import written
@@ -40,7 +39,7 @@ def build_tables(files: DataFrame) -> dict[str, DataFrame]:
     """Tables of files(file, content binary): classified files, the scan (written once, read by all others), declarations, refs, imports, raw and resolved edges, modules."""
     classified = corpus.classify(files)
     scan = written(python_scan.scan(classified), "scan")
-    names = ("path", "leaf", "kind", "s_line", "e_line", "s_byte", "e_byte", "signature", "preview", "refs")
+    names = ("path", "leaf", "kind", "s_line", "e_line", "s_byte", "e_byte", "col", "body_byte", "indent", "signature", "preview", "refs")
     parent = F.when(F.col("s.parent") >= 0, F.concat_ws("#", "file", "s.parent"))
     declarations = scan.select("file", "language", F.explode("declarations").alias("s")).select(F.concat_ws("#", "file", "s.idx").alias("id"), parent.alias("parent"), "file", "language", *[f"s.{n}" for n in names])
     raw = scan.select("file", F.explode("edges").alias("e")).select("file", "e.*")
@@ -102,6 +101,35 @@ def ignore_config(findings: DataFrame) -> DataFrame:
     return findings.groupBy("section").agg(F.concat(F.lit("ignore = ["), F.array_join(quoted, ", "), F.lit("]")).alias("text"))
 
 
-def long_line_ratio(text: F.Column) -> F.Column:
-    """Signs a line, on average."""
-    return F.length(text) / F.greatest(T.loc(text), F.lit(1))
+def audit_layout(findings: DataFrame) -> DataFrame:
+    """A row for each section: section, worst severity, counts by severity, and its findings, worst first, then by location and message."""
+    order = F.struct((-F.col("sev_ord")).alias("o"), F.coalesce("location", F.lit("")).alias("location"), "message", "detail", "severity")
+    rows = findings.groupBy("section").agg(F.array_sort(F.collect_list(order)).alias("rows"), F.max_by("severity", "sev_ord").alias("worst"), F.count("*").alias("total"))
+    counts = findings.groupBy("section", "severity").agg(F.count("*").alias("n")).groupBy("section").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("counts"))
+    return rows.join(counts, "section").select("section", "worst", "total", "counts", F.transform("rows", lambda x: F.struct(x["severity"].alias("severity"), x["message"].alias("message"), x["detail"].alias("detail"), x["location"].alias("location"))).alias("findings"))
+
+
+def loc_layout(measured: DataFrame) -> DataFrame:
+    """One row: totals, and languages by lines of code with their shares, of file_metrics() rows."""
+    stats = metrics.shares(metrics.language_stats(measured))
+    languages = stats.agg(F.array_sort(F.collect_list(F.struct((-F.col("sloc")).alias("o"), "language", "files", "loc", "sloc", "size", "share_bp"))).alias("l"))
+    total = metrics.totals(measured)
+    return total.crossJoin(languages).select(F.struct(*total.columns).alias("total"), F.transform("l", lambda x: F.struct(*[x[c].alias(c) for c in ("language", "files", "loc", "sloc", "size", "share_bp")])).alias("languages"))
+
+
+def map_layout(sections: dict[str, DataFrame]) -> DataFrame:
+    """A row for each section of a map: section, and its rows as JSON texts, in the order that the section has. Sections are limited or few."""
+    out = None
+    for name, df in sections.items():
+        one = df.select(F.to_json(F.struct(*df.columns)).alias("j")).withColumn("k", F.monotonically_increasing_id()).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]).alias("rows")).select(F.lit(name).alias("section"), "rows")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def analysis_layout(tables: dict[str, DataFrame], target: str) -> DataFrame | None:
+    """The dump() row of the file that target names, as a path or the end of one, with the names that it imports and their files; None if there is no such file."""
+    hit = lookup.match_files(tables["scan"].select("file"), tables["scan"].sparkSession.createDataFrame([(target,)], "wanted string"), loose=False).first()
+    if hit is None or hit["file"] is None:
+        return None
+    names = graph.import_names(tables["edges_raw"].where(F.col("file") == hit["file"]), tables["modules"]).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("source_module", "name", "source_file", "scope"))).alias("imported"))
+    return dump(tables).where(F.col("file") == hit["file"]).join(names, "file", "left")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 REF = "struct<name:string,kind:string,line:int>"
-DECLARATION = f"struct<idx:int,parent:int,path:string,leaf:string,kind:string,s_line:int,e_line:int,s_byte:bigint,e_byte:bigint,signature:string,preview:string,refs:array<{REF}>>"
+DECLARATION = f"struct<idx:int,parent:int,path:string,leaf:string,kind:string,s_line:int,e_line:int,s_byte:bigint,e_byte:bigint,col:int,body_byte:bigint,indent:int,signature:string,preview:string,refs:array<{REF}>>"
 IMPORT = "struct<name:string,source:string,line:int>"
 EDGE = "struct<ord:int,module:string,names:array<string>,scope:string,line:int,level:int>"
 METHOD = "struct<name:string,line:int,lines:int,complexity:int,max_depth:int,is_async:boolean>"

@@ -71,6 +71,21 @@ def renamed(spark: SparkSession, old: str, new: str) -> None:
         raise FileExistsError(new)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole: under another name first, which then takes the place of the old one."""
+    fs, p = _filesystem(spark, path)
+    half = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(half)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(half, p):
+        raise OSError(f"can't write {path}")
+
+
 def clean(spark: SparkSession) -> None:
     """Removes what this application has written into the shared folder. Frames that read from it are of no use afterwards."""
     removed(spark, f"{shared_dir(spark)}/{_own(spark)}")

@@ -101,7 +101,7 @@ def scan_go(file: str, source: bytes, module: str | None = None) -> dict[str, An
         margin = min((len(x) - len(x.lstrip()) for x in body), default=0)
         s_byte = len(text[: first[1]].encode())
         declarations.append({
-            "idx": len(declarations), "parent": -1, "path": path, "leaf": leaf, "kind": kind, "s_line": first[2], "e_line": last[2] + last[0].count("\n"), "s_byte": s_byte, "e_byte": s_byte + len(text[first[1] : end].encode()),
+            "idx": len(declarations), "parent": -1, "path": path, "leaf": leaf, "kind": kind, "s_line": first[2], "e_line": last[2] + last[0].count("\n"), "s_byte": s_byte, "col": 0, "body_byte": None, "indent": None, "e_byte": s_byte + len(text[first[1] : end].encode()),
             "signature": head, "preview": "\n".join(x[margin:] for x in body), "refs": [{"name": a, "kind": b, "line": c} for a, b, c in sorted(refs, key=lambda r: (r[2], r[0], r[1]))],
         })
 

@@ -6,7 +6,7 @@ import ast
 import builtins
 import re
 import textwrap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -275,6 +275,16 @@ def preview(node: ast.AST, lines: list[str]) -> str:
     return "\n".join(x[indent:] for x in code)
 
 
+def _body(node: ast.AST, starts: list[int]) -> dict[str, int | None]:
+    """Where text can be put at the head of a definition's body: the line of the first statement that is no docstring, and its column. None if the body is on the head's line."""
+    first = node.body[0]
+    if first.lineno == node.lineno:
+        return {"body_byte": None, "indent": None}
+    doc = isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)
+    at = first.end_lineno + 1 if doc else min([first.lineno, *[d.lineno for d in getattr(first, "decorator_list", [])]])
+    return {"body_byte": starts[at - 1] if at <= len(starts) else None, "indent": first.col_offset}
+
+
 def declarations(tree: ast.Module, file: str, source: bytes) -> list[dict[str, Any]]:
     """Definitions that are children of the module or of a definition, parents before children."""
     raw = source.split(b"\n")
@@ -291,7 +301,7 @@ def declarations(tree: ast.Module, file: str, source: bytes) -> list[dict[str, A
             first = min([x.lineno, *[d.lineno for d in x.decorator_list]])
             a, z = starts[first - 1], min(starts[x.end_lineno] - 1, len(source))
             path, idx = f"{prefix}.{x.name}" if prefix else x.name, len(out)
-            out.append({"idx": idx, "parent": parent, "path": path, "leaf": x.name, "kind": kind, "s_line": first, "e_line": x.end_lineno, "s_byte": a, "e_byte": z, "signature": signature(source[a:z]), "preview": preview(x, lines), "refs": references(x)})
+            out.append({"idx": idx, "parent": parent, "path": path, "leaf": x.name, "kind": kind, "s_line": first, "e_line": x.end_lineno, "s_byte": a, "e_byte": z, "col": x.col_offset, **_body(x, starts), "signature": signature(source[a:z]), "preview": preview(x, lines), "refs": references(x)})
             walk(x.body, path, idx, isinstance(x, ast.ClassDef))
 
     walk(tree.body, module_prefix(file), -1, False)
@@ -334,7 +344,22 @@ def scan_python(file: str, source: bytes, _module: str | None = None) -> dict[st
     }
 
 
-_SCANNERS = {"Python": scan_python, "Go": go_scan.scan_go}
+Scanner = Callable[[str, bytes, str | None], dict[str, Any]]
+#: Scanners of each language by tier, the highest of which is taken.
+_SCANNERS: dict[str, dict[int, Scanner]] = {"Python": {0: scan_python}, "Go": {0: go_scan.scan_go}}
+
+
+def add_scanner(language: str, scanner: Scanner, tier: int = 1, available: Callable[[], bool] = lambda: True) -> bool:
+    """Registers a scanner of (file, content, module) that returns a row of SCAN, if it is available here; lower tiers stay for when it isn't. Executors need its module as well."""
+    if available():
+        _SCANNERS.setdefault(language, {})[tier] = scanner
+        return True
+    return False
+
+
+def scanners() -> dict[str, Scanner]:
+    """The scanner of the highest tier of each language."""
+    return {language: tiers[max(tiers)] for language, tiers in _SCANNERS.items() if tiers}
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -342,14 +367,14 @@ def scan(files: DataFrame) -> DataFrame:
 
     A file that doesn't parse has a row with parse_error. Repeated files are scanned each. The module of a Go file is its import path, if a go.mod of files lies above it.
     """
-    schema = to_arrow_schema(StructType.fromDDL(SCAN))
+    schema, best = to_arrow_schema(StructType.fromDDL(SCAN)), scanners()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_SCANNERS[lang](file, content, module) for file, lang, content, module in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            rows = [best[lang](file, content, module) for file, lang, content, module in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             for i in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 256], schema=schema)
 
-    wanted = F.col("language").isin(*_SCANNERS) & F.col("content").isNotNull() & F.col("file").isNotNull()
+    wanted = F.col("language").isin(*best) & F.col("content").isNotNull() & F.col("file").isNotNull()
     own = go_scan.with_modules(files.where(wanted).select("file", "language", "content"), files)
     return own.select("file", "language", "content", "module").mapInArrow(run, SCAN)

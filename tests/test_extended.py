@@ -166,3 +166,182 @@ def test_refreshed_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(src)
     assert batch([("new", "added", 7)], "cp2") == want | {"new": 7}
     assert batch([(f, "deleted", None) for f in [*want, "new"]], "cp2") == {}
+
+
+CLASS = "class A:\n    \"\"\"Doc.\"\"\"\n    x = 1\n\n    def m(self):\n        return 1\n\n\ndef f(): return 2\n"
+
+
+def applied(spark, t, made):
+    from astrolith.operators import edits
+
+    return {r.file: r.content.decode() for r in edits.apply(t["files"].select("file", "content"), made).collect()}
+
+
+def test_guarded_inserts(spark):
+    from astrolith.operators import edits
+
+    t = tree(spark, {"m.py": CLASS})
+    of = lambda leaf: t["declarations"].where(f"leaf = '{leaf}'")
+    new = "def n(self):\n    return 3"
+    cases = {("A", "start"): CLASS.replace("    x = 1\n", "    def n(self):\n        return 3\n\n    x = 1\n"), ("A", "end"): CLASS.replace("        return 1\n", "        return 1\n\n    def n(self):\n        return 3\n"), ("m", "before"): CLASS.replace("    def m", "    def n(self):\n        return 3\n\n    def m"), ("m", "after"): CLASS.replace("        return 1\n", "        return 1\n\n    def n(self):\n        return 3\n"), ("f", "after"): CLASS.rstrip("\n") + "\n\n\n" + new + "\n"}
+    for (leaf, where), want in cases.items():
+        made, said = edits.checked_insert(of(leaf), where, new)
+        assert [r.status for r in said.collect()] == ["ok"] and applied(spark, t, made) == {"m.py": want}, (leaf, where)
+    said = lambda leaf, where, text: edits.checked_insert(of(leaf), where, text)[1].first()["status"]
+    assert [said("f", "end", new), said("A", "end", "def ("), said("A", "end", "x = 1\ny = 2"), said("A", "end", "x = 1")] == ["not_a_container", "parse_error", "not_one", "not_one"]
+    with pytest.raises(ValueError):
+        edits.insert(of("A"), "beside", new)
+
+
+def test_guarded_replacements(spark):
+    from astrolith.operators import edits
+
+    t = tree(spark, {"m.py": CLASS, "u.go": "package u\n\nfunc F() int { return 1 }\n"})
+    of = lambda leaf: t["declarations"].where(f"leaf = '{leaf}'")
+    said = lambda leaf, text, language="Python": edits.checked_replace(t["declarations"], of(leaf), text, language)[1].first()["status"]
+    assert [said("m", "def k(self): ..."), said("m", "class K: ..."), said("m", "def (:"), said("m", "def a(): ...\ndef b(): ..."), said("f", "class A: ..."), said("f", "def A(): ..."), said("m", "def m(self): ...")] == ["ok", "kind_mismatch", "parse_error", "not_one", "kind_mismatch", "collision", "ok"]
+    made, _ = edits.checked_replace(t["declarations"], of("m"), "def m(self):\n    return 5\n")
+    assert applied(spark, t, made) == {"m.py": CLASS.replace("return 1", "return 5")}
+    assert [said("F", "func F() int { return 2 }", "Go"), said("F", "func F() {", "Go"), said("F", "type T int", "Go")] == ["ok", "parse_error", "kind_mismatch"]
+
+
+def test_stored_transactions(spark, tmp_path):
+    from astrolith.operators import edits
+
+    path = str(tmp_path / "s")
+    frame = lambda files: spark.createDataFrame([(k, v.encode()) for k, v in files.items()], "file string, content binary")
+    stored = lambda: {r.file: r.content.decode() for r in incremental.load_index(spark, path, path)["store"].collect()}
+    assert edits.undo_last(spark, path) == ("nothing_to_undo", None)
+    assert edits.transact(spark, path, frame({"a": "1", "b": "2"})) == ("ok", 1) and edits.transact(spark, path, frame({"a": "3", "c": "4"})) == ("ok", 2)
+    assert edits.transact(spark, path, frame({"a": "bad"}), verify=lambda after: after.where("content = X'626164'").isEmpty()) == ("rejected", None)
+    assert stored() == {"a": "3", "b": "2", "c": "4"}
+    assert edits.undo_last(spark, path) == ("ok", 2) and stored() == {"a": "1", "b": "2"}
+    assert edits.undo_last(spark, path) == ("ok", 1) and stored() == {} and edits.undo_last(spark, path)[0] == "nothing_to_undo"
+
+
+SPEC = 'name = "web-kit"\ncategory = "web"\nseverity = "warning"\ndetect_files = ["kit.cfg"]\n[calls]\nerror = ["web_kit.run"]\n[exclude]\norphans = ["**/pages/*"]\n'
+
+
+def test_specs(spark, tmp_path):
+    from astrolith.operators import config
+    from astrolith.plans import extend
+
+    (tmp_path / "a.toml").write_text(SPEC)
+    (tmp_path / "b.toml").write_text('category = 3\nodd = 1\nseverity = "loud"\n')
+    (tmp_path / "c.toml").write_text("= no")
+    specs, wrong = extend.load_specs(str(tmp_path))
+    assert [s.name for s in specs] == ["web-kit"] and set(wrong) == {"b.toml", "c.toml"}
+    assert wrong["b.toml"].split("\n") == ["name is missing", "odd is unknown", "category is no text", "loud is no severity"]
+    rows = extend.packages(spark, specs)
+    one = rows.first()
+    assert (one.import_name, one.detect_deps, [tuple(p) for p in one.prefixes]) == ("web_kit", ["web-kit"], [("web_kit.run", "error")])
+    deps, files = spark.createDataFrame([("other",)], "name string"), spark.createDataFrame([("kit.cfg",)], "file string")
+    assert [r.name for r in config.active_frameworks(rows, deps, files).collect()] == ["web-kit"]
+
+
+def test_rules_of_a_project(spark, tmp_path):
+    from astrolith.operators import rules
+    from astrolith.plans import extend
+
+    (tmp_path / "own.py").write_text("from pyspark.sql import functions as F\nfrom astrolith.operators.rules import finding, rule\n@rule('long_names', 5)\ndef f(t):\n    return finding(t['scan'].where('length(file) > 10'), 'long_names', F.lit('long'), F.col('file'), F.lit('info'), F.col('file'))\n")
+    (tmp_path / "bad.py").write_text("from astrolith.operators.rules import rule\nrule('half', 1)(lambda t: t)\nraise RuntimeError('no')\n")
+    try:
+        names, wrong = extend.load_rules([str(tmp_path), "missing.py"])
+        assert names == ["long_names"] and [w.split(":")[0] for w in wrong.values()] == ["RuntimeError", "FileNotFoundError"]
+        t = tree(spark, {"a_rather_long_name.py": "", "b.py": ""})
+        got = rules.run(spark, t)
+        assert got.first()["section"] == "long_names" and got.where("section = 'long_names'").count() == 1
+        assert "long_names" not in {r.section for r in rules.run(spark, t, disabled=["long_names"]).collect()}
+    finally:
+        rules.RULES.pop("long_names", None)
+    deps = spark.createDataFrame([("flask",)], "name string")
+    known = spark.createDataFrame([("flask", "web")], "name string, category string")
+    assert [tuple(r) for r in rules.VIEWS["stack"]["by_category"]({"deps": deps, "packages": known}).collect()] == [("web", ["flask"])]
+
+
+def test_hooks():
+    from astrolith.plans import extend
+
+    h = extend.Hooks()
+    h.on("rows", 60)(lambda x: x + ["last"])
+    h.on("rows", 10)(lambda x: x + ["first"])
+    h.on("rows", 60)(lambda x: None)
+    assert h.run("rows", []) == ["first", "last"] and h.run("other", 3) == 3 and len(h.names("rows")) == 3
+
+
+def test_scanner_tiers(spark):
+    from astrolith.sources import python_scan
+
+    try:
+        assert not python_scan.add_scanner("Go", None, tier=9, available=lambda: False) and python_scan.scanners()["Go"].__name__ == "scan_go"
+        assert python_scan.add_scanner("Text", python_scan.scan_python, tier=1) and "Text" in python_scan.scanners()
+    finally:
+        python_scan._SCANNERS.pop("Text", None)
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_read_log(spark, tmp_path, stored):
+    folder = str(tmp_path / "log") if stored else None
+    log = incremental.ReadLog(spark, folder)
+    rows = lambda *r: spark.createDataFrame(r, incremental.ReadLog.READ)
+    asked = spark.createDataFrame([(1, "a", 5, 8), (2, "b", 1, 1)], "query long, file string, first long, last long")
+    assert log.covering(asked).count() == 0
+    log.add(rows((1, "a", 1, 10, 1.0, 1.0), (2, "a", 4, 9, 2.0, 1.0)))
+    log.add(rows((3, "b", 1, 1, 3.0, 1.0)))
+    if stored:
+        log = incremental.ReadLog(spark, folder)
+    assert {(r.query, r.read_id) for r in log.covering(asked).collect()} == {(1, 2), (2, 3)}
+    log.invalidate(spark.createDataFrame([("a",)], "file string"))
+    assert {(r.query, r.read_id) for r in log.covering(asked).collect()} == {(2, 3)}
+    log.clear()
+    assert log.rows().count() == 0
+
+
+def test_warm_tables(spark, tmp_path):
+    path = str(tmp_path / "i")
+    warm = incremental.Warm(spark, path, "/")
+    assert warm.tables() is None
+    incremental.save_index({"a": spark.range(3)}, path, "/")
+    first = warm.tables()
+    assert first["a"].count() == 3 and warm.tables() is first
+    incremental.save_index({"a": spark.range(5)}, path, "/")
+    assert warm.tables()["a"].count() == 5
+    warm.drop()
+
+
+def test_whole_files_and_cleaning(spark, tmp_path):
+    from astrolith import session
+
+    path = f"{tmp_path}/x.txt"
+    for text in ("one", "zwei ü"):
+        session.write_text(spark, path, text)
+        assert open(path, encoding="utf-8").read() == text
+    assert session.listed(spark, str(tmp_path)) == ["x.txt"] or all(x.startswith((".", "x.txt")) for x in session.listed(spark, str(tmp_path)))
+    df = session.written(spark.range(2), "some")
+    assert df.count() == 2
+
+
+def test_layouts(spark):
+    t = tree(spark, {"a.py": "import b\ndef f():\n    try:\n        b.g()\n    except Exception:\n        pass\n", "b.py": "def g(): ...\n"})
+    deps = spark.createDataFrame([("flask",)], "name string")
+    from astrolith.operators import metrics
+    from astrolith.operators.config import ProjectConfig
+
+    found = {r.section: r for r in reports.audit_layout(reports.audit(spark, t, deps, ProjectConfig(min_severity="skip"))).collect()}
+    assert found["swallowed"].worst == "warning" and found["swallowed"].counts == {"warning": 1} and found["swallowed"].findings[0].location == "a.py:5"
+    measured = metrics.file_metrics(t["files"].selectExpr("file", "language", "decode(content, 'UTF-8') AS content"))
+    loc = reports.loc_layout(measured).first()
+    assert loc.total.files == 2 and [(x.language, x.files) for x in loc.languages] == [("Python", 2)]
+    assert {r.section for r in reports.map_layout(reports.project_map(t)).collect()} == {"hotspots", "fragile", "leaves", "coupling", "deep_chains", "cycles", "summary"}
+    one = reports.analysis_layout(t, "a.py").first()
+    assert [(x.name, x.source_file) for x in one.imported] == [("b", "b.py")] and reports.analysis_layout(t, "none.py") is None
+
+
+def test_text_predicates(spark):
+    from astrolith.functions import text as T
+    from astrolith.operators import layout
+
+    rows = [("a", b"plain"), ("b", b"\x00x"), ("c", b"\xff\xfe\x00"), ("d", "ü".encode() * 600), ("e", b"\xe9t\xe9"), ("f", b"\xef\xbb\xbfx"), ("g", b"")]
+    got = {r.k: (r.binary, r.enc) for r in spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "k string, v binary").select("k", T.is_binary(__import__("pyspark").sql.functions.col("v")).alias("binary"), T.encoding(__import__("pyspark").sql.functions.col("v")).alias("enc")).collect()}
+    assert got == {"a": (False, "UTF-8"), "b": (True, None), "c": (True, "UTF-16"), "d": (False, "UTF-8"), "e": (True, "ISO-8859-1"), "f": (False, "UTF-8"), "g": (False, "UTF-8")}
+    assert layout.numbered("a\nb\nc", "a\nx\nc") == "...\n2 - b\n2 + x\n..."

@@ -47,7 +47,7 @@ def test_transaction_and_undo(spark):
 
 def test_insert_delete_replace(spark):
     s = store(spark, {"m.py": "def f():\n    pass\n"})
-    sym = spark.createDataFrame([("i", "m.py", 0, 17)], "id string, file string, s_byte bigint, e_byte bigint")
+    sym = spark.createDataFrame([("i", "m.py", 0, 17, 0, 9, 4)], "id string, file string, s_byte bigint, e_byte bigint, col int, body_byte bigint, indent int")
     assert content(edits.apply(s, edits.insert(sym, "after", "g = 1\n")))["m.py"] == b"def f():\n    pass\n\n\ng = 1\n"
     assert content(edits.apply(s, edits.insert(sym, "before", "g = 1")))["m.py"] == b"g = 1\n\n\ndef f():\n    pass\n"
     assert content(edits.apply(s, edits.delete(sym)))["m.py"] == b"\n"
