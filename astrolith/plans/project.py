@@ -59,19 +59,19 @@ VIEWS = {
     "refs": "SELECT DISTINCT 'c' || o_custkey AS source_id, 'p' || l_partkey AS name, CASE WHEN l_returnflag = 'N' THEN 'name' ELSE 'attr' END AS kind, l_linenumber AS line FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
     "calls": "SELECT DISTINCT 'c' || o_custkey AS source_id, n_name AS name, 'name' AS kind, l_linenumber AS line FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey",
     "imports": "SELECT DISTINCT 'c' || o_custkey AS source_id, 'p' || l_partkey AS name, o_orderstatus AS source, l_linenumber AS line FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'",
-    "edges": "SELECT DISTINCT src, dst FROM (SELECT p_partkey % n AS src, (p_partkey * 7 + p_size) % n AS dst FROM {part} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) AS s) AS e WHERE src <> dst",
+    "dense": "SELECT DISTINCT src, dst FROM (SELECT p_partkey % n AS src, (p_partkey * 7 + p_size) % n AS dst FROM {part} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) AS s) AS e WHERE src <> dst",
+    "edges": "SELECT s_suppkey AS src, (s_suppkey * s_suppkey + 3 * s_suppkey + 7) % n AS dst FROM {supplier} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) AS c WHERE s_suppkey <> (s_suppkey * s_suppkey + 3 * s_suppkey + 7) % n",
+    "needs": "SELECT n_name AS interface, n_name AS name FROM {nation} UNION SELECT a.n_name, b.n_name FROM {nation} AS a JOIN {nation} AS b ON b.n_nationkey = (a.n_nationkey + 1) % 25",
     "dag": f"SELECT c_custkey AS src, {_HALF} AS dst FROM {{customer}} WHERE c_custkey <> {_HALF} UNION SELECT c_custkey, {_THIRD} FROM {{customer}} WHERE c_custkey <> {_THIRD}",
-    "file_edges": """SELECT DISTINCT 'src/' || a.r_name || '/' || cn.n_name || '/c.py' AS src, 'src/' || b.r_name || '/' || sn.n_name || '/c.py' AS dst
-        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} AS cn ON c_nationkey = cn.n_nationkey JOIN {region} AS a ON cn.n_regionkey = a.r_regionkey
-        JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} AS sn ON s_nationkey = sn.n_nationkey JOIN {region} AS b ON sn.n_regionkey = b.r_regionkey WHERE o_orderpriority = '1-URGENT' AND l_quantity > 45""",
+    "file_edges": f"SELECT file AS src, to_file AS dst FROM ({_PY}) AS py WHERE k > 0",
     "findings": f"SELECT event_type AS section, 'e' || event_id AS message, props AS detail, {_SEVERITY} AS severity, {_ORDER} AS sev_ord, 'u' || user_id AS location FROM {{events}}",
     "deps": "SELECT 'part-' || p_partkey AS name, p_brand AS category FROM {part}",
-    "used": "SELECT DISTINCT 'part_' || l_partkey || '.core' AS module FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 40",
+    "used": "SELECT DISTINCT 'part_' || CAST(floor(o_totalprice / 200) AS BIGINT) || '.core' AS module FROM {orders}",
     "snap_old": "SELECT 'k' || c_custkey AS file, CAST(c_nationkey AS BIGINT) AS mtime FROM {customer}",
     "snap_new": "SELECT 'k' || c_custkey AS file, CAST(c_nationkey + CASE WHEN max(o_totalprice) > 400000 THEN 1 ELSE 0 END AS BIGINT) AS mtime FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey UNION ALL SELECT 's' || s_suppkey, CAST(s_nationkey AS BIGINT) FROM {supplier}",
     "read_log": "SELECT event_id AS read_id, 'f' || user_id AS file, CAST(floor(value) AS BIGINT) AS start, CAST(floor(value) + length(props) + length(event_type) * 10 AS BIGINT) AS \"end\", ts AS served_at, CAST(length(event_type) AS BIGINT) AS served_mtime FROM {events}",
     "asked": "SELECT o_orderkey AS query, 'f' || CAST(floor(o_custkey / 10) AS BIGINT) AS file, CAST(floor(o_totalprice / 1000) AS BIGINT) AS first, CAST(floor(o_totalprice / 1000) + length(o_orderpriority) AS BIGINT) AS last FROM {orders}",
-    "texts": "SELECT 'k' || c_custkey AS file, c_name || '/' || c_mktsegment || '/end' AS content FROM {customer}",
+    "texts": "SELECT 'k' || c_custkey AS file, c_name || '/' || c_mktsegment || repeat('/end', 1 + c_nationkey % 3) AS content FROM {customer}",
     "edits": "SELECT 'k' || c_custkey AS file, 0 AS k, CAST(2 AS BIGINT) AS start, CAST(5 AS BIGINT) AS \"end\", '<' || c_custkey || '>' AS new FROM {customer} UNION ALL SELECT 'k' || c_custkey, 1, CAST(c_nationkey AS BIGINT), CAST(c_nationkey + 3 AS BIGINT), '[' || c_mktsegment || ']' FROM {customer}",
     "comments": "SELECT 'u' || user_id || '/e' || event_id AS file, 'x = 1  # ' || CASE event_type WHEN 'error' THEN 'FIXME: ' WHEN 'purchase' THEN 'todo ' WHEN 'click' THEN 'Hack: ' ELSE 'note ' END || props AS content FROM {events}",
 }

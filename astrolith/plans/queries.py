@@ -79,9 +79,9 @@ def bar_widths(files):
     return metrics.bar_widths(metrics.language_stats(metrics.file_metrics(files)))
 
 
-@query("SELECT file, substr(sha256(content), 1, 16) AS content_key, content LIKE '%' || chr(0) || '%' AS is_binary FROM v_files")
+@query("SELECT file, substr(sha256(content), 1, 16) AS content_key, sha1(content) AS sha1, content LIKE '%' || chr(0) || '%' AS is_binary, content <> '' AS is_binary_utf16 FROM v_files")
 def content_keys(files):
-    return files.select("file", T.content_key(F.encode("content", "UTF-8")).alias("content_key"), T.is_binary(F.encode("content", "UTF-8")).alias("is_binary"))
+    return files.select("file", T.content_key(F.encode("content", "UTF-8")).alias("content_key"), T.content_sha1(F.encode("content", "UTF-8")).alias("sha1"), T.is_binary(F.encode("content", "UTF-8")).alias("is_binary"), T.is_binary(F.encode("content", "UTF-16")).alias("is_binary_utf16"))
 
 
 @query("""WITH p AS (SELECT file, string_split(content, chr(10)) AS parts FROM v_files), l AS (SELECT file, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS one FROM p)
@@ -124,8 +124,8 @@ def enclosing_declarations(declarations):
 
 
 @query("SELECT name, id, path, file, line, r.kind AS ref_kind FROM v_refs AS r JOIN v_declarations AS s ON source_id = id")
-def callers(refs, declarations):
-    return lookup.callers(refs, declarations, refs.select("name"))
+def callers(refs, declarations, deps):
+    return lookup.callers(refs, declarations, deps.select(F.regexp_replace("name", "^part-", "p").alias("name")))
 
 
 @query("SELECT name, id, path, file, line, r.kind AS ref_kind FROM v_refs AS r JOIN v_declarations AS s ON source_id = id WHERE name = 'p7'")
@@ -182,34 +182,33 @@ def rename_candidates(declarations, calls, imports):
     return lookup.rename_candidates(declarations, calls, imports, "NATION_3")
 
 
-@query("""WITH i AS (SELECT DISTINCT kind AS interface, name FROM v_calls), m AS (SELECT DISTINCT source_id AS type, name FROM v_calls), n AS (SELECT interface, count(*) AS need FROM i GROUP BY interface)
-SELECT interface, type FROM i JOIN m USING (name) JOIN n USING (interface) GROUP BY interface, type, need HAVING count(*) = need""")
-def interface_impact(calls):
-    return lookup.interface_impact(calls.select(F.col("source_id").alias("type"), "name"), calls.select(F.col("kind").alias("interface"), "name"))
+@query("""WITH m AS (SELECT DISTINCT source_id AS type, name FROM v_calls), n AS (SELECT interface, count(*) AS need FROM v_needs GROUP BY interface)
+SELECT interface, type FROM v_needs JOIN m USING (name) JOIN n USING (interface) GROUP BY interface, type, need HAVING count(*) = need""")
+def interface_impact(calls, needs):
+    return lookup.interface_impact(calls.select(F.col("source_id").alias("type"), "name"), needs)
 
 
 _CLASS = "CASE WHEN {0} >= {3} THEN 'error' WHEN {0} >= {2} THEN 'warning' WHEN {0} >= {1} THEN 'info' ELSE 'debug' END"
 
 
-@query(f"SELECT dst AS node, count(*) AS fan_in, {_CLASS.format('count(*)', 5, 15, 25)} AS severity FROM v_edges GROUP BY dst")
-def fan_in(edges):
-    return graph.fan_in(edges)
+@query(f"SELECT dst AS node, count(*) AS fan_in, {_CLASS.format('count(*)', 5, 15, 25)} AS severity FROM v_dense GROUP BY dst")
+def fan_in(dense):
+    return graph.fan_in(dense)
 
 
-@query(f"SELECT src AS node, count(DISTINCT dst) AS fan_out, {_CLASS.format('count(DISTINCT dst)', 8, 15, 25)} AS severity FROM v_edges GROUP BY src")
-def fan_out(edges):
-    return graph.fan_out(edges)
+@query(f"SELECT src AS node, count(DISTINCT dst) AS fan_out, {_CLASS.format('count(DISTINCT dst)', 8, 15, 25)} AS severity FROM v_dense GROUP BY src")
+def fan_out(dense):
+    return graph.fan_out(dense)
 
 
-@query("SELECT dst AS node, min(src) AS importer, length(c_name) AS lines FROM v_dag JOIN customer ON c_custkey = dst GROUP BY dst, c_name HAVING count(*) = 1")
-def graph_leaves(dag):
-    sizes = dag.select(F.col("dst").alias("node")).distinct().withColumn("lines", F.lit(18).cast("bigint"))
-    return graph.leaves(dag, sizes)
+@query("SELECT dst AS node, min(src) AS importer, CAST(10 * s_nationkey AS BIGINT) AS lines FROM v_edges JOIN supplier ON s_suppkey = dst GROUP BY dst, s_nationkey HAVING count(*) = 1 AND 10 * s_nationkey < 100")
+def graph_leaves(edges, uses):
+    return graph.leaves(edges, uses.select(F.col("s").alias("node"), (10 * F.col("n")).cast("bigint").alias("lines")))
 
 
-@query("SELECT a.src AS a, a.dst AS b FROM v_edges AS a JOIN v_edges AS b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
-def mutual_imports(edges):
-    return graph.mutual(edges)
+@query("SELECT a.src AS a, a.dst AS b FROM v_dense AS a JOIN v_dense AS b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+def mutual_imports(dense):
+    return graph.mutual(dense)
 
 
 _PACKAGE = "SELECT DISTINCT array_to_string(string_split(src, '/')[2:{0}], '/') AS package, array_to_string(string_split(dst, '/')[2:{0}], '/') AS dep FROM v_file_edges"
@@ -336,9 +335,11 @@ def snapshot_is_clean(snap_old, snap_new):
     return incremental.is_clean(incremental.diff(snap_old, snap_new))
 
 
-@query(f"WITH {_CHANGES}, n AS (SELECT count(*) AS changes FROM c WHERE change <> 'same') SELECT changes, CASE WHEN changes = 0 THEN 'load' WHEN changes > 200 THEN 'rebuild' ELSE 'compact' END AS action FROM n")
+@query(f"""WITH {_CHANGES}, n AS (SELECT count(*) FILTER (change <> 'same') AS changes, count(*) FILTER (change <> 'deleted') AS live, count(*) FILTER (change = 'deleted') AS dead FROM c)
+SELECT changes, CASE WHEN changes = 0 THEN 'load' WHEN changes > 200 THEN 'rebuild' WHEN dead >= 100 AND dead >= 0.3 * (live + dead) THEN 'compact' ELSE 'refresh' END AS action FROM n""")
 def refresh_policy(snap_old, snap_new):
-    return incremental.policy(incremental.diff(snap_old, snap_new), live=250, dead=150)
+    changes = incremental.diff(snap_old, snap_new)
+    return incremental.policy(changes, live=changes.where("change <> 'deleted'").count(), dead=changes.where("change = 'deleted'").count())
 
 
 @query(f"WITH {_CHANGES} SELECT o.file, mtime FROM v_snap_old AS o JOIN c ON o.file = c.file WHERE change = 'same' UNION ALL SELECT n.file, mtime FROM v_snap_new AS n JOIN c ON n.file = c.file WHERE change IN ('added', 'modified')")
@@ -357,10 +358,9 @@ def latest_reads(read_log):
     return incremental.latest_reads(read_log).drop("served_mtime")
 
 
-@query("""SELECT query, CASE WHEN EXISTS (SELECT 1 FROM v_read_log AS r WHERE r.file = a.file AND start <= first AND "end" >= last AND served_mtime = 5) THEN 'ok' ELSE 'needs_read_confirmation' END AS status FROM v_asked AS a""")
+@query("""WITH now AS (SELECT file, max(served_mtime) AS mtime FROM v_read_log GROUP BY file) SELECT query, CASE WHEN EXISTS (SELECT 1 FROM v_read_log AS r JOIN now USING (file) WHERE r.file = a.file AND start <= first AND "end" >= last AND served_mtime = mtime) THEN 'ok' ELSE 'needs_read_confirmation' END AS status FROM v_asked AS a""")
 def patch_preflight(read_log, asked):
-    current = read_log.select("file").distinct().withColumn("mtime", F.lit(5).cast("bigint"))
-    return incremental.preflight(asked, read_log, current)
+    return incremental.preflight(asked, read_log, read_log.groupBy("file").agg(F.max("served_mtime").alias("mtime")))
 
 
 @query("""WITH e AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY start, "end", k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM v_edits) SELECT file, k FROM e WHERE start < r""")
@@ -389,18 +389,20 @@ def locate_edits(texts):
     return edits_module.locate(wanted, texts.withColumn("content", F.encode("content", "UTF-8"))).select("file", "status", "start")
 
 
-@query("SELECT file, regexp_replace(content, '\\bend\\b', 'stop', 'g') AS content, CAST(1 AS INT) AS n FROM v_texts")
+@query("SELECT file, regexp_replace(content, '\\bend\\b', 'stop', 'g') AS content, CAST((length(content) - length(replace(content, '/end', ''))) / 4 AS INT) AS n FROM v_texts")
 def rename_words(texts):
     done = edits_module.rename_words(texts.withColumn("content", F.encode("content", "UTF-8")), texts, "end", "stop")
     return done.select("file", F.decode("content", "UTF-8").alias("content"), F.col("n").cast("int").alias("n"))
 
 
-@query(f"WITH {_APPLY}, u AS (SELECT t.file, t.content FROM v_texts AS t UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE false) SELECT file, content FROM u")
+@query(f"WITH {_APPLY} SELECT file, CASE WHEN status = 'ok' THEN spliced ELSE content END AS after, content FROM b")
 def undo_transaction(texts, edits):
     store = texts.withColumn("content", F.encode("content", "UTF-8"))
     changed = edits_module.apply(store, edits).where("status = 'ok'").unionByName(store.select(F.concat(F.lit("new/"), "file").alias("file"), "content", F.lit("ok").alias("status")))
     after, log = edits_module.commit(store, changed, 7)
-    return edits_module.undo(after, log).withColumn("content", F.decode("content", "UTF-8"))
+    back = edits_module.undo(after, log)
+    text = F.decode("content", "UTF-8")
+    return after.select("file", text.alias("after")).join(back.select("file", text.alias("content")), "file")
 
 
 @query("WITH l AS (SELECT c_custkey, CAST(floor(c_custkey / 4) AS BIGINT) AS tx_id FROM customer) SELECT tx_id, 'k' || c_custkey AS file FROM l WHERE tx_id > (SELECT max(tx_id) FROM l) - 50")
