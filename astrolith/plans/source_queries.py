@@ -32,7 +32,7 @@ _EXPORTS = f"""SELECT file, 'LIMIT' AS name, 'variable' AS kind, 3 AS line, 0 AS
 _OTHER = "CASE s % 12 WHEN 0 THEN 'Makefile' WHEN 1 THEN 'Shell' WHEN 2 THEN 'C' WHEN 3 THEN 'JavaScript' WHEN 4 THEN 'Rust' WHEN 5 THEN 'Perl' WHEN 6 THEN 'XML' WHEN 7 THEN 'XML' WHEN 8 THEN 'Roff Manpage' WHEN 9 THEN 'Ruby' WHEN 10 THEN 'Markdown' END"
 
 
-@query(f"WITH scanned AS ({_SCANNED}) SELECT file, language FROM scanned UNION ALL SELECT file, {_OTHER} FROM v_tools UNION ALL SELECT 'svc/go.mod', NULL FROM region WHERE r_regionkey = 0")
+@query(f"WITH scanned AS ({_SCANNED}) SELECT file, language FROM scanned UNION ALL SELECT file, {_OTHER} FROM v_tools UNION ALL SELECT 'svc/go.mod', 'Go Module' FROM region WHERE r_regionkey = 0")
 def source_languages(tree):
     return tree["files"].select("file", "language")
 

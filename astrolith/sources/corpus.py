@@ -6,46 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import language_data
 
-#: (name, type, popular, endings, file names, interpreters, aliases), in the order in which ties are broken.
-LANGUAGES = [
-    ("Python", "programming", True, [".py", ".pyi", ".pyw"], ["SConstruct", "wscript"], ["python", "python2", "python3", "pypy"], ["python", "python3", "py"]),
-    ("Go", "programming", True, [".go"], [], [], ["go", "golang"]),
-    ("JavaScript", "programming", True, [".js", ".cjs", ".mjs", ".jsx"], ["Jakefile"], ["node", "deno"], ["javascript", "js", "node"]),
-    ("TypeScript", "programming", True, [".ts", ".cts", ".mts"], [], ["ts-node", "tsx"], ["typescript", "ts"]),
-    ("Java", "programming", True, [".java", ".jav"], [], [], ["java"]),
-    ("C", "programming", True, [".c", ".h"], [], ["tcc"], ["c"]),
-    ("C++", "programming", True, [".cpp", ".cc", ".cxx", ".hpp", ".hh", ".h"], [], [], ["c++", "cpp"]),
-    ("C#", "programming", True, [".cs"], [], [], ["c#", "csharp"]),
-    ("Rust", "programming", True, [".rs"], [], [], ["rust", "rs"]),
-    ("Ruby", "programming", True, [".rb", ".rake", ".gemspec"], ["Rakefile", "Gemfile"], ["ruby", "jruby"], ["ruby", "rb"]),
-    ("PHP", "programming", True, [".php"], [], ["php"], ["php"]),
-    ("Shell", "programming", True, [".sh", ".bash", ".zsh"], [".bashrc", ".profile"], ["sh", "bash", "zsh", "dash", "ksh"], ["shell", "sh", "bash"]),
-    ("Perl", "programming", False, [".pl", ".pm"], [], ["perl"], ["perl"]),
-    ("Prolog", "programming", False, [".pl", ".pro"], [], ["swipl"], ["prolog"]),
-    ("Lua", "programming", False, [".lua"], [], ["lua", "luajit"], ["lua"]),
-    ("Scala", "programming", True, [".scala", ".sbt"], [], ["scala"], ["scala"]),
-    ("Kotlin", "programming", True, [".kt", ".kts"], [], [], ["kotlin"]),
-    ("Swift", "programming", True, [".swift"], [], [], ["swift"]),
-    ("R", "programming", False, [".r"], [".Rprofile"], ["Rscript"], ["r"]),
-    ("SQL", "data", False, [".sql"], [], [], ["sql"]),
-    ("JSON", "data", False, [".json"], [".all-contributorsrc"], [], ["json"]),
-    ("YAML", "data", False, [".yml", ".yaml"], [".clang-format"], [], ["yaml", "yml"]),
-    ("TOML", "data", False, [".toml"], ["Pipfile", "poetry.lock"], [], ["toml"]),
-    ("XML", "data", False, [".xml", ".xsd", ".xsl"], [], [], ["xml"]),
-    ("HTML", "markup", True, [".html", ".htm"], [], [], ["html"]),
-    ("CSS", "markup", True, [".css"], [], [], ["css"]),
-    ("Markdown", "prose", False, [".md", ".markdown"], ["README.md"], [], ["markdown", "md"]),
-    ("reStructuredText", "prose", False, [".rst"], [], [], ["restructuredtext", "rst"]),
-    ("Text", "prose", False, [".txt"], ["LICENSE", "COPYING"], [], ["text"]),
-    ("Roff Manpage", "markup", False, [], [], [], ["manpage"]),
-    ("Roff", "markup", False, [".roff"], [], [], ["roff"]),
-    ("Makefile", "programming", False, [".mk"], ["Makefile", "GNUmakefile"], ["make"], ["makefile", "make"]),
-    ("Dockerfile", "programming", False, [".dockerfile"], ["Dockerfile"], [], ["dockerfile"]),
-    ("Vim Script", "programming", False, [".vim"], [".vimrc"], [], ["vim", "viml"]),
-]
+#: (name, type, popular, endings, file names, interpreters, aliases).
+LANGUAGES = language_data.rows()
 _MODELINE = r"(?s)-\*-\s*(?:.*?mode:\s*)?([A-Za-z0-9+#_-]+)\s*(?:;.*?)?-\*-|(?:\b(?:vi|vim|ex):\s*(?:.*?\s)?|\b(?:vi|vim|ex):\s*set?\s.*?)(?:ft|filetype|syntax)=([A-Za-z0-9+#_-]+)"
-_MANPAGE = r"\.(?:[1-9](?![0-9])[a-z_0-9]*|0p|n|man|mdoc)(?:\.in)?$"
+#: A section's digit with letters, or one of the endings that manual pages have.
+_MANPAGE = r"(?i)\.([1-9]([a-z_][a-z_0-9]*)?|man|mdoc|0p|n)(\.in)?$"
+#: Characters that tell languages of one ending apart.
+HEURISTIC_CHARS = 50 * 1024
 
 
 def read_tree(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
@@ -90,24 +59,49 @@ def modeline(text: Column) -> Column:
     return F.when(~ends.contains("UseVimball"), found)
 
 
+def _by_ending(file: Column) -> Column:
+    """Languages of the longest ending of a file's name that any has."""
+    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in (_lookup(F.regexp_extract(paths.basename(file), r"(\.[^.]+\.[^.]+)$", 1), 3), _lookup(paths.extension(file), 3))], F.array().cast("array<string>"))
+
+
+def _by_text(file: Column, text: Column) -> Column:
+    """The language that the beginning of a text decides on among those of its ending; none if nothing does."""
+    head, ending, out = F.substring(text, 1, HEURISTIC_CHARS), paths.extension(file), F.array().cast("array<string>")
+    for endings, choices in reversed(language_data.HEURISTICS):
+        own = F.coalesce(*[F.when(head.rlike(p) if p else F.lit(True), F.lit(name)) for name, p in choices])
+        out = F.when(ending.isin(*endings), F.filter(F.array(own), lambda x: x.isNotNull())).otherwise(out)
+    return out
+
+
+def _best(candidates: Column, file: Column) -> Column:
+    """One of several languages: what its ending is known for, else the one with the fewest endings, programs before markup, prose and data, then the first in the list."""
+    order = {"programming": 0, "markup": 1, "prose": 2, "data": 3}
+    rank = F.create_map(*[y for k, x in enumerate(LANGUAGES) for y in (F.lit(x[0]), F.lit(len(x[3]) * 1_000_000 + order[x[1]] * 10_000 + k))])
+    known = F.create_map(*[F.lit(y) for kv in language_data.PREFERRED.items() for y in kv])
+    preferred = F.try_element_at(known, paths.extension(file))
+    least = F.array_min(F.transform(candidates, lambda x: F.struct(F.try_element_at(rank, x).alias("rank"), x.alias("name"))))["name"]
+    return F.when(F.size(candidates) == 0, None).when(F.array_contains(candidates, F.coalesce(preferred, F.lit(""))), preferred).otherwise(least)
+
+
 def language(file: Column, text: Column) -> Column:
-    """Language of a file: mode line, file name, first line, ending, XML head, manual page. One candidate decides; several narrow down and
-    the first in the dimension's order is taken. Null if nothing fits."""
+    """Language of a file: mode line, file name, first line, ending, XML head, manual page, then what tells languages of its ending apart. One candidate decides; several narrow down,
+    and of what is left the best known is taken. Null if nothing fits."""
     none = F.array().cast("array<string>")
     strategies = [
         F.when(modeline(text).isNotNull(), _lookup(modeline(text), 6)).otherwise(none),
         _lookup(paths.basename(file), 4),
         F.when(text.startswith("#!"), _lookup(interpreter(text), 5)).otherwise(none),
-        _lookup(paths.extension(file), 3),
+        _by_ending(file),
         F.when(text.rlike(r"^[^\n]*\n?[^\n]*<\?xml version="), F.array(F.lit("XML"))).otherwise(none),
         F.when(paths.basename(file).rlike(_MANPAGE), F.array(F.lit("Roff Manpage"), F.lit("Roff"))).otherwise(none),
+        _by_text(file, text),
     ]
 
     def narrowed(state: Column, s: Column) -> Column:
         both = F.array_intersect(state, s)
         return F.when((F.size(state) == 1) | (F.size(s) == 0), state).when(F.size(state) == 0, s).when(F.size(both) > 0, both).otherwise(state)
 
-    return F.get(F.aggregate(F.array(*strategies), none, narrowed), F.lit(0))
+    return _best(F.aggregate(F.array(*strategies), none, narrowed), file)
 
 
 def classify(files: DataFrame) -> DataFrame:

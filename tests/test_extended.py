@@ -345,3 +345,22 @@ def test_text_predicates(spark):
     got = {r.k: (r.binary, r.enc) for r in spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "k string, v binary").select("k", T.is_binary(__import__("pyspark").sql.functions.col("v")).alias("binary"), T.encoding(__import__("pyspark").sql.functions.col("v")).alias("enc")).collect()}
     assert got == {"a": (False, "UTF-8"), "b": (True, None), "c": (True, "UTF-16"), "d": (False, "UTF-8"), "e": (True, "ISO-8859-1"), "f": (False, "UTF-8"), "g": (False, "UTF-8")}
     assert layout.numbered("a\nb\nc", "a\nx\nc") == "...\n2 - b\n2 + x\n..."
+
+
+LANGUAGES = [
+    ("x.h", "int f(void);\n", "C"), ("x.h", "namespace a {\n}\n", "C++"), ("x.h", "@interface A\n@end\n", "Objective-C"), ("x.m", "function y = f(x)\n", "MATLAB"), ("x.pl", "a(X) :- b(X).\n", "Prolog"), ("x.pl", "use strict;\nmy $x = 1;\n", "Perl"),
+    ("x.ts", "const a = 1\n", "TypeScript"), ("x.ts", '<?xml version="1.0"?>\n<TS version="2">\n', "XML"), ("x.sql", "SELECT 1;\n", "SQL"), ("x.v", "Theorem a : True.\n", "Coq"), ("x.v", "module m(a);\nendmodule\n", "Verilog"), ("x.fs", "let a = 1\n", "F#"), ("x.ml", "let rec f x = x;;\n", "OCaml"),
+    ("x.cls", "\\NeedsTeXFormat{LaTeX2e}\n", "TeX"), ("x.blade.php", "", "Blade"), ("x.rs", "fn main() {}\n", "Rust"), ("x.md", "# a\n", "Markdown"), ("go.mod", "module a\n", "Go Module"), ("Gemfile", "", "Ruby"), ("tsconfig.json", "{}", "JSON with Comments"), ("a.1", "text\n", "Roff Manpage"), ("a.10", "text\n", None), ("run", "#!/usr/bin/env -S deno run\n", "JavaScript"), ("x.xyz", "", None), ("x.txt", "# vim: set ft=ruby :\n", "Ruby"),
+]
+
+
+def test_languages(spark):
+    from astrolith.sources import corpus
+
+    rows = [(k, f, t) for k, (f, t, _) in enumerate(LANGUAGES)]
+    from pyspark.sql import functions as F
+
+    got = {r.k: r.l for r in spark.createDataFrame(rows, "k int, file string, t string").select("k", corpus.language(F.col("file"), F.col("t")).alias("l")).collect()}
+    assert {LANGUAGES[k][:2]: v for k, v in got.items()} == {(f, t): want for f, t, want in LANGUAGES}
+    names = [x[0] for x in corpus.LANGUAGES]
+    assert len(names) == len(set(names)) > 400
