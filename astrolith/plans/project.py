@@ -60,7 +60,7 @@ VIEWS = {
     "calls": "SELECT DISTINCT 'c' || o_custkey AS source_id, n_name AS name, 'name' AS kind, l_linenumber AS line FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey",
     "imports": "SELECT DISTINCT 'c' || o_custkey AS source_id, 'p' || l_partkey AS name, o_orderstatus AS source, l_linenumber AS line FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'",
     "dense": "SELECT DISTINCT src, dst FROM (SELECT p_partkey % n AS src, (p_partkey * 7 + p_size) % n AS dst FROM {part} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) AS s) AS e WHERE src <> dst",
-    "edges": "SELECT s_suppkey AS src, (s_suppkey * s_suppkey + 3 * s_suppkey + 7) % n AS dst FROM {supplier} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) AS c WHERE s_suppkey <> (s_suppkey * s_suppkey + 3 * s_suppkey + 7) % n",
+    "edges": "SELECT src, dst FROM (SELECT s_suppkey AS src, CASE WHEN s_suppkey % 3 = 0 THEN CAST(floor(s_suppkey / 2) AS BIGINT) ELSE (s_suppkey * s_suppkey + 3 * s_suppkey + 7) % n END AS dst FROM {supplier} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) AS c) AS e WHERE src <> dst",
     "needs": "SELECT n_name AS interface, n_name AS name FROM {nation} UNION SELECT a.n_name, b.n_name FROM {nation} AS a JOIN {nation} AS b ON b.n_nationkey = (a.n_nationkey + 1) % 25",
     "dag": f"SELECT c_custkey AS src, {_HALF} AS dst FROM {{customer}} WHERE c_custkey <> {_HALF} UNION SELECT c_custkey, {_THIRD} FROM {{customer}} WHERE c_custkey <> {_THIRD}",
     "file_edges": f"SELECT file AS src, to_file AS dst FROM ({_PY}) AS py WHERE k > 0",

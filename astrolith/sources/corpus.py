@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +33,18 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*x, k) for k, x in enumerate(LANGUAGES)], "name string, type string, popular boolean, extensions array<string>, filenames array<string>, interpreters array<string>, aliases array<string>, rank int")
 
 
+def _constant(table: dict, type_: str) -> Column:
+    """A constant map, written as one text so that the plan holds a single literal once the optimizer has folded it."""
+    return F.from_json(F.lit(json.dumps(table)), type_)
+
+
 def _lookup(key: Column, at: int) -> Column:
     """Names of the languages that list key, in rank order; the dimension is a constant map in the plan."""
     table: dict[str, list[str]] = {}
     for x in LANGUAGES:
         for v in x[at]:
             table.setdefault(v.lower(), []).append(x[0])
-    constant = F.create_map(*[y for k, names in table.items() for y in (F.lit(k), F.array(*map(F.lit, names)))])
-    return F.coalesce(F.try_element_at(constant, F.lower(key)), F.array().cast("array<string>"))
+    return F.coalesce(F.try_element_at(_constant(table, "map<string, array<string>>"), F.lower(key)), F.array().cast("array<string>"))
 
 
 def interpreter(text: Column) -> Column:
@@ -76,8 +82,8 @@ def _by_text(file: Column, text: Column) -> Column:
 def _best(candidates: Column, file: Column) -> Column:
     """One of several languages: what its ending is known for, else the one with the fewest endings, programs before markup, prose and data, then the first in the list."""
     order = {"programming": 0, "markup": 1, "prose": 2, "data": 3}
-    rank = F.create_map(*[y for k, x in enumerate(LANGUAGES) for y in (F.lit(x[0]), F.lit(len(x[3]) * 1_000_000 + order[x[1]] * 10_000 + k))])
-    known = F.create_map(*[F.lit(y) for kv in language_data.PREFERRED.items() for y in kv])
+    rank = _constant({x[0]: len(x[3]) * 1_000_000 + order[x[1]] * 10_000 + k for k, x in enumerate(LANGUAGES)}, "map<string, int>")
+    known = _constant(language_data.PREFERRED, "map<string, string>")
     preferred = F.try_element_at(known, paths.extension(file))
     least = F.array_min(F.transform(candidates, lambda x: F.struct(F.try_element_at(rank, x).alias("rank"), x.alias("name"))))["name"]
     return F.when(F.size(candidates) == 0, None).when(F.array_contains(candidates, F.coalesce(preferred, F.lit(""))), preferred).otherwise(least)
