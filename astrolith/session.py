@@ -11,8 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows in an Arrow batch, and Spark's own number: with texts of some kilobytes the latter makes batches of tens of MB, held by the JVM and by a worker, for each task.
+BATCH_ROWS, SPARK_BATCH_ROWS = 2048, 10000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers of a local master import this package. On a cluster it is installed or comes with --py-files."""
+    """Lets Python workers of a local master import this package. On a cluster it is installed or comes with --py-files.
+
+    Also sets Arrow batches to BATCH_ROWS, unless the session has a number of its own.
+    """
+    if int(spark.conf.get(_BATCH)) == SPARK_BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(":")
     if spark.sparkContext.master.startswith("local") and ROOT not in have:
