@@ -1,16 +1,19 @@
-"""SimHash near-dedup with bit-sliced comparison.
+"""SimHash near-dedup: every pair of 128-bit fingerprints of word pairs within the radius.
 
-128-bit fingerprints of word pairs are put into tables keyed by sampled bits; the number of bits follows the number of fingerprints, so that buckets
-stay of one size, and the number of tables follows the bits, so that the chance to meet does. Inside a task, the rows of a table are sorted
-by key, larger buckets first, and their bits are stored as 128 vertical planes. The planes shifted by s give the
-differences of all rows to the row s places on; carry-save counters add them up, and words of 64 rows are abandoned once all
-of them are beyond the radius.
+The fingerprints are cut into shards, each pair of which is a task's. In a task they are sorted by a covering family of masks: whichever bits two fingerprints within
+the radius differ in, some mask has none of them, so that they meet under it and no link is lost; see covering(). Rows that meet are compared by the bits set in their
+difference, all rows with the row s places on at once.
+
+Only callers that name a recall get tables keyed by sampled bits instead, which lose links: the number of bits follows the number of fingerprints, and the number of tables the
+bits. There bits are stored as 128 vertical planes. The planes shifted by s give the differences of all rows to the row s places on; carry-save counters add them up, and words of 64 rows
+are abandoned once all of them are beyond the radius. With a covering family's many small buckets these are slower than counting bits row by row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,9 @@ from .session import without, written
 
 BITS = 128
 RADIUS = 26
-#: The least chance that two fingerprints at the radius meet in some table.
+#: Fingerprints of a shard, and in how many tasks the masks of few shards are split.
+SHARD, SPLIT = 1 << 18, 16
+#: With sampled tables, the least chance that two fingerprints at the radius meet in some table, unless the caller names one.
 RECALL = 0.93
 #: Fingerprints of a bucket, on average, and from where a bucket is cut into blocks that meet in pairs, a task each.
 BUCKET, BLOCK = 256, 1 << 14
@@ -306,13 +311,167 @@ def _pieces(radius: int, masks: np.ndarray, blocks: bool):
     return run
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, recall: float) -> DataFrame:
+@lru_cache(maxsize=32)
+def _covering(parts: int, radius: int) -> np.ndarray:
+    """(masks, 2) of the two halves: for any radius bits, one at least of the masks has none of them.
+
+    The bits are cut into parts, which bear t differences each, the sum of all t + 1 being radius + 1: two fingerprints within the radius differ in at most t bits of some part. Each bit of a
+    part has a vector of t + 1 bits, and each other vector but 0 a mask of the bits whose vectors have an odd number of bits in common with it. The t vectors of t differences are orthogonal
+    to some vector, whose mask has none of them. Of several random choices of vectors the one is taken whose masks have the most bits.
+    """
+    order, at, out = np.random.default_rng(3).permutation(BITS), 0, []
+    for q in range(parts):
+        width, t = BITS // parts + (q < BITS % parts), (radius + 1 - parts) // parts + (q < (radius + 1 - parts) % parts)
+        v, best = np.arange(1, 2 << t), None
+        for seed in range(50):
+            r = np.random.default_rng(seed)
+            of_bit = np.concatenate([r.permutation(v) for _ in range(-(-width // len(v)))])[:width]
+            has = np.bitwise_count(v[:, None] & of_bit) & 1
+            cost = (0.5 ** has.sum(1)).sum()
+            if best is None or cost < best[0]:
+                best = cost, has
+        bits = np.zeros((len(v), BITS), np.uint8)
+        bits[:, order[at : at + width]] = best[1]
+        at += width
+        out.append(np.packbits(bits, axis=1).view(np.int64))
+    return np.concatenate(out)
+
+
+def covering(n: int, radius: int = RADIUS) -> np.ndarray:
+    """The masks of a covering family that costs the least for n fingerprints: more masks have more bits, and fewer rows meet under each. All lose no pair."""
+    least, most = max(1, -(-(radius + 1) // 8)), max(1, min(radius + 1, 9))
+    families = [_covering(p, radius) for p in range(min(least, most), most + 1)]
+    return min(families, key=lambda m: len(m) * (1e-4 + 4e-8 * n) + 4e-9 * n * n * (0.5 ** np.bitwise_count(m.view(np.uint64)).sum(1, dtype=np.int64).astype(float)).sum())
+
+
+def mask_edges(halves: np.ndarray, radius: int, masks: np.ndarray, own: range, shard: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, rows, links): edges that tie together all rows of fingerprints connected by distances up to radius, and how many links each row has, of links whose first mask is in own.
+
+    The first mask of two rows is the first of masks under which they are equal. With shard, only rows of different shards are compared. Pairs are never held as a whole.
+    """
+    n, step = len(halves), 1 << 15
+    links, at, to, held = np.zeros(n, np.int64), [], [], 0
+    x, d, e = np.empty(step, np.uint64), np.empty(step, np.uint8), np.empty(step, np.uint8)
+
+    def keep(t: int, a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal at, to, held, links
+        if shard is not None:
+            other = shard[a] != shard[b]
+            a, b = a[other], b[other]
+        differ = halves[a] ^ halves[b]
+        new = ((differ & masks[t]) == 0).all(1)
+        a, b, differ = a[new], b[new], differ[new]
+        for m in masks[:t]:
+            if not len(a):
+                return
+            new = ((differ & m) != 0).any(1)
+            if not new.all():
+                a, b, differ = a[new], b[new], differ[new]
+        links += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+        at.append(a)
+        to.append(b)
+        held += len(a)
+        if held > 1 << 20:
+            child, root = tied()
+            at, to, held = [child], [root], len(child)
+
+    def tied() -> tuple[np.ndarray, np.ndarray]:
+        r = roots(n, np.concatenate(at), np.concatenate(to))
+        child = np.flatnonzero(r != np.arange(n))
+        return child, r[child]
+
+    for t in own:
+        h = T.mix((halves & masks[t]).view(np.uint64) * np.array([0x9E3779B97F4A7C15, 0xA0761D6478BD642F], _U))
+        key = ((h[:, 0] ^ h[:, 1]) >> _U(48)).astype(np.uint16)  # rows of several values may share a key: keep() tells them apart
+        size = np.bincount(key, minlength=1 << 16)
+        order = np.argsort(key, kind="stable")
+        by = np.argsort(-size, kind="stable")
+        cut, size = (np.cumsum(size) - size)[by], size[by]
+        by = int(np.searchsorted(-size, -1, "left"))
+        cut, size = cut[:by], size[:by]
+        if not len(size):
+            continue
+        total = np.cumsum(size)
+        rows = order[np.repeat(cut - (total - size), size) + np.arange(total[-1])]
+        hi, lo = halves[rows].view(np.uint64).T.copy()
+        found, waiting = [], 0
+        for s in range(1, int(size[0])):
+            lanes = int(total[np.searchsorted(-size, -s, "left") - 1]) - s  # buckets of more than s rows come first
+            for i in range(0, lanes, step):
+                w = min(step, lanes - i)
+                np.bitwise_xor(hi[i : i + w], hi[i + s : i + s + w], out=x[:w])
+                np.bitwise_count(x[:w], out=d[:w])
+                np.bitwise_xor(lo[i : i + w], lo[i + s : i + s + w], out=x[:w])
+                np.bitwise_count(x[:w], out=e[:w])
+                np.add(d[:w], e[:w], out=d[:w])
+                some = np.flatnonzero(d[:w] <= radius)
+                if len(some):
+                    found.append(np.stack([rows[i + some], rows[i + s + some]]))
+                    waiting += len(some)
+                    if waiting > 1 << 17:
+                        keep(t, *np.concatenate(found, 1))
+                        found, waiting = [], 0
+        if found:
+            keep(t, *np.concatenate(found, 1))
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), links
+    child, root = tied()
+    return child, root, links
+
+
+def _cells(radius: int, masks: np.ndarray, shards: int, split: int):
+    """_FOUND rows of batches (cell, hi, lo, shard) in the order of cells: a cell is a pair of shards and a part of the masks, (first * shards + second) * split + part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            cell, *halves, shard = (np.concatenate(c) for c in zip(*held, strict=True))
+            halves = np.ascontiguousarray(np.stack(halves, 1))
+            pair, part = divmod(int(cell[0]), split)
+            a, b, links = mask_edges(halves, radius, masks, range(part, len(masks), split), None if pair // shards == pair % shards else shard)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(halves[a, 0]), pa.array(halves[a, 1]), pa.array(halves[b, 0]), pa.array(halves[b, 1]), none], ["a_hi", "a_lo", "b_hi", "b_lo", "n"])
+            some = np.flatnonzero(links)
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(halves[some, 0]), pa.array(halves[some, 1]), none, none, pa.array(links[some])], ["a_hi", "a_lo", "b_hi", "b_lo", "n"])
+
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            edges = np.flatnonzero(np.diff(columns[0])) + 1 if batch.num_rows else []
+            for a, z in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if a == z:
+                    continue
+                if held and held[0][0][0] != columns[0][a]:
+                    yield from found()
+                    held.clear()
+                held.append([c[a:z] for c in columns])
+        if held:
+            yield from found()
+
+    return run
+
+
+def _all_links(prints: DataFrame, n: int, radius: int) -> DataFrame:
+    """_FOUND rows of prints(hi, lo), n of them, all different: every link. Each row goes to as many cells as there are shards, times the parts that the masks are split in."""
+    shards = max(1, -(-n // SHARD))
+    masks = covering(min(n, 2 * SHARD), radius)
+    pairs = shards * (shards + 1) // 2
+    split = max(1, min(SPLIT // pairs, -(-n * len(masks) >> 21)))
+    own = F.pmod(F.xxhash64("lo", "hi"), F.lit(shards)) if shards > 1 else F.lit(0).cast("long")
+    mates = prints.select("hi", "lo", own.alias("shard")).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    pair = F.least("shard", "mate") * shards + F.greatest("shard", "mate")
+    rows = mates.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long")))).select((pair * split + F.col("part")).alias("cell"), "hi", "lo", "shard")
+    return rows.repartition(min(2 * pairs * split, 4096), "cell").sortWithinPartitions("cell").mapInArrow(_cells(radius, masks, shards, split), _FOUND)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, recall: float | None) -> DataFrame:
     """(doc_id, text_hash, kept_id, n_links) of the rows in a group of near copies, but for those with the group's smallest identifier."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
     fps = written(rows.mapInArrow(_fingerprint, "doc_id long, text_hash long, hi long, lo long, n_words long").where("n_words > 0").drop("n_words"), "simhash")
     prints = written(fps.select("hi", "lo").distinct(), "prints")
-    key_bits, tables = shape(prints.count(), radius, recall)
-    found = written(_links(prints, radius, samples(tables, key_bits)), "links")
+    n = prints.count()
+    found = written(_all_links(prints, n, radius) if recall is None else _links(prints, radius, samples(*shape(n, radius, recall)[::-1])), "links")
     node = lambda x: F.struct(F.col(f"{x}_hi").alias("hi"), F.col(f"{x}_lo").alias("lo")).alias(x)
     roots_of = components(found.where("b_hi IS NOT NULL").select(node("a"), node("b"))).select("id.hi", "id.lo", "root")
     links = found.where("b_hi IS NULL").groupBy(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).agg(F.sum("n").alias("n_links"))
@@ -321,12 +480,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, recall: f
     return classed.join(least, "root").where("doc_id <> kept_id").select("doc_id", "text_hash", "kept_id", "n_links")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, recall: float | None = None) -> DataFrame:
     """(doc_id, kept_id, n_links) for each document in a group of near copies, but for the group's smallest identifier, kept_id, which names the group.
 
     Two texts are near if their fingerprints differ in at most radius bits; groups are the connected components. n_links counts the other fingerprints
-    that are near a document's own, each once, and never its copies. Equal fingerprints are always found; others by at least one of the tables, with a probability of at least recall at the radius and
-    more below it: 1 - (1 - (1 - d/128) ** key_bits) ** tables at distance d, at any number of documents. Null identifiers, null texts and texts without a letter or number are in no
+    that are near a document's own, each once, and never its copies. Every link is found, at any number of documents. Only with a recall are links lost: the tables are then of sampled bits, and find a link with a
+    probability of at least recall at the radius and more below it, 1 - (1 - (1 - d/128) ** key_bits) ** tables at distance d; equal fingerprints are always found. Null identifiers, null texts and texts without a letter or number are in no
     group. Rows that repeat an identifier and a text count once; an identifier of several texts is in the group of each. A tie of votes leaves a bit unset. An empty table
     gives no rows; further columns are not read.
     """
@@ -339,7 +498,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A row goes only if its identifier and its text are listed, so that an identifier that is used for an unrelated text as well keeps that one. Rows with a group's smallest identifier
     stay, repeated ones too; so do null identifiers, null texts and texts without a letter or number. An empty table stays empty.
     """
-    gone = _grouped(docs, id_col, text_col, how.get("radius", RADIUS), how.get("recall", RECALL)).select("doc_id", "text_hash")
+    gone = _grouped(docs, id_col, text_col, how.get("radius", RADIUS), how.get("recall")).select("doc_id", "text_hash")
     return without(docs, written(gone, "gone"), {"doc_id": F.col(id_col).cast("long"), "text_hash": F.xxhash64(text_col)})
 
 

@@ -110,6 +110,61 @@ def test_links_same_as_brute_force(spark, monkeypatch):
         assert brute.components(len(fp), [(at[a], at[b]) for a, b in edges]) == brute.components(len(fp), np.argwhere(near & meet).tolist())
 
 
+def test_near_finds_every_link(spark):
+    """Pairs of texts at all distances up to the radius: no link is lost."""
+    r = np.random.default_rng(11)
+    rows = []
+    for k in range(1500):
+        words = [f"w{k}x{i}" for i in range(60)]
+        rows.append((2 * k, " ".join(words)))
+        for i in r.choice(60, int(r.integers(3, 9)), replace=False):
+            words[i] = f"n{k}x{i}"
+        rows.append((2 * k + 1, " ".join(words)))
+    bits = np.unpackbits(S.fingerprints(pa.array([t for _, t in rows]))[0], axis=1).astype(np.float32)
+    near = (bits @ (1 - bits).T + (1 - bits) @ bits.T <= S.RADIUS) & ~np.eye(len(rows), dtype=bool)
+    want = {(i, int(near[i].sum())) for i, k in brute.near([i for i, _ in rows], np.packbits(bits.astype(np.uint8), axis=1), S.RADIUS)}
+    assert {(x.doc_id, x.n_links) for x in S.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+@pytest.mark.parametrize("radius", [0, 1, 5, 26, 40])
+def test_some_mask_has_none_of_the_differences(radius):
+    r = np.random.default_rng(radius)
+    differ = np.zeros((3000, 128), np.uint8)
+    for i in range(3000):  # anywhere, or close together
+        width = int(r.integers(max(radius, 1), 129))
+        differ[i, int(r.integers(0, 129 - width)) + r.choice(width, radius, replace=False)] = 1
+    halves = np.packbits(differ, axis=1).view(np.int64)
+    for n in (1, 10**4, 10**5, 10**6):
+        missed = np.ones(len(halves), bool)
+        for m in S.covering(n, radius):
+            missed &= ((halves & m) != 0).any(1)
+        assert not missed.any()
+
+
+def test_all_links_over_shards(spark, monkeypatch):
+    """Every link once, of rows in one shard and in two, with the masks in one part and in several."""
+    r = np.random.default_rng(6)
+    fp = r.integers(0, 256, (500, 16), dtype=np.uint8)
+    for i in range(0, 300, 3):
+        fp[i + 1], fp[i + 2] = fp[i] ^ np.packbits(r.random(128) < 0.1), fp[i] ^ np.packbits(r.random(128) < 0.19)
+    fp[300:] = fp[300] ^ np.packbits(r.random((200, 128)) < 0.11, axis=1)  # one large group of different texts
+    fp = np.unique(fp, axis=0)
+    halves, bits = fp.view(np.int64), np.unpackbits(fp, axis=1).astype(int)
+    near = ((bits[:, None] != bits[None]).sum(2) <= 26) & ~np.eye(len(fp), dtype=bool)
+    want = {tuple(h): int(n) for h, n in zip(halves.tolist(), near.sum(1), strict=True) if n}
+    at = {tuple(h): i for i, h in enumerate(halves.tolist())}
+    for shard, n in ((S.SHARD, len(fp)), (S.SHARD, 200_000), (200, len(fp)), (9, 30)):
+        monkeypatch.setattr(S, "SHARD", shard)
+        got, edges = {}, []
+        for x in S._all_links(spark.createDataFrame(halves.tolist(), "hi long, lo long"), n, 26).collect():
+            if x.b_hi is None:
+                got[x.a_hi, x.a_lo] = got.get((x.a_hi, x.a_lo), 0) + x.n
+            else:
+                edges.append((at[x.a_hi, x.a_lo], at[x.b_hi, x.b_lo]))
+        assert got == want
+        assert brute.components(len(fp), edges) == brute.components(len(fp), np.argwhere(near).tolist())
+
+
 def test_shape_keeps_buckets_and_recall():
     for n in (0, 1, 300, 10_000, 10**6, 10**9):
         key_bits, tables = S.shape(n)
