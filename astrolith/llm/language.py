@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
+from .session import released
 
 #: Most labelled rows that the centroids are fitted on.
 FIT_ROWS = 4000
@@ -152,6 +153,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "l
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, to = docs.columns.index(text_col), docs.columns.index(label_col)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             labels, _, rejected = shared.value.classify(b.column(at))

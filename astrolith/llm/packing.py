@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, read_vocabulary
-from .session import partitions
+from .session import partitions, released
 from .sstable import PATTERN
 
 CAPACITY = 2048
@@ -128,6 +128,7 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
         for b in batches:
             yield pa.array([np.array(coder.encode_ordinary(t.as_py()), width).tobytes() if t.is_valid else b"" for t in b], pa.binary())
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int | None, np.ndarray]]:
             for b in batches:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import cut, shared_dir, written
 from . import text as T
 
-__all__ = ["cut", "free", "may_be_in", "partitions", "shared_dir", "without", "written"]
+__all__ = ["cut", "free", "may_be_in", "partitions", "released", "shared_dir", "without", "written"]
 #: Bits of a filter for each key, and at most: 32 MB are sent to each executor. Beyond, more rows pass the filter, and all results stay the same.
 KEY_BITS, MAX_BITS = 16, 1 << 28
 _PLACES = 4
@@ -39,6 +41,28 @@ def partitions(df: DataFrame, each: int = 64 << 20) -> int | None:
     return wanted if size < 1 << 60 and wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
+def _release() -> None:
+    """Gives freed memory of this process back, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, with freed memory given back before and after it: Spark keeps workers for later tasks, and they would hold it beside them."""
+
+    @functools.wraps(run)
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return one
+
+
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
     h = T.mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     step = T.mix(h) | np.uint64(1)

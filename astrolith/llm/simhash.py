@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import components
-from .session import without, written
+from .session import released, without, written
 
 BITS = 128
 RADIUS = 26
@@ -61,6 +61,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, n_words
 
 
+@released
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         f, n = fingerprints(b.column(1))
@@ -462,7 +463,7 @@ def _all_links(prints: DataFrame, n: int, radius: int) -> DataFrame:
     mates = prints.select("hi", "lo", own.alias("shard")).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     pair = F.least("shard", "mate") * shards + F.greatest("shard", "mate")
     rows = mates.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long")))).select((pair * split + F.col("part")).alias("cell"), "hi", "lo", "shard")
-    return rows.repartition(min(2 * pairs * split, 4096), "cell").sortWithinPartitions("cell").mapInArrow(_cells(radius, masks, shards, split), _FOUND)
+    return rows.repartition(min(2 * pairs * split, 4096), "cell").sortWithinPartitions("cell").mapInArrow(released(_cells(radius, masks, shards, split)), _FOUND)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, recall: float | None) -> DataFrame:

@@ -1,5 +1,10 @@
 """Exact and near dedup against brute force."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -180,6 +185,31 @@ def test_near_keeps_an_unrelated_text_of_a_listed_identifier(spark):
     assert pairs(S.near_groups(words)) == [(5000, 7), (5001, 7)]
 
 
+def test_fingerprints_leave_no_memory_behind():
+    """A worker's memory after a task: Spark keeps the process, which must not hold what the task has freed."""
+    code = """if True:
+        import re
+        import pyarrow as pa
+        from astrolith.llm import simhash as S
+
+        def anonymous():
+            return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+        def run(n):
+            text = " ".join(f"word{i}" for i in range(900))
+            batch = lambda: pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"{i} {text}" for i in range(n)]), pa.array(range(n))], ["doc_id", "text", "text_hash"])
+            return sum(b.num_rows for b in S._fingerprint(batch() for _ in range(3)))
+
+        run(1)
+        before = anonymous()
+        assert run(2000) == 6000
+        print(anonymous() - before)
+    """
+    root = str(Path(S.__file__).resolve().parents[2])
+    left = int(subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout)
+    assert left <= 35, left
+
+
 def test_near_edges(spark):
     long = " ".join(f"word{i} other{i * 7}" for i in range(20_000))
     base = " ".join(f"w{i}" for i in range(60))
