@@ -195,3 +195,11 @@ def test_read_tree(spark, tmp_path):
         (tmp_path / name).write_text("x = 1\n")
     assert sorted(r.file for r in corpus.read_tree(spark, str(tmp_path), exclude=["venv/*"]).collect()) == ["a.py", "d/b.py"]
     assert [r.file for r in corpus.read_tree(spark, str(tmp_path), include=["**/b.py"]).collect()] == ["d/b.py"]
+
+
+def test_signature_of_a_long_head(spark):
+    head = "def f(" + ", ".join(f"argument_{k}: int={k}" for k in range(400)) + ", last: str='z') -> int:"
+    source = f"@wraps(g)\n{head}\n    return 1\n"
+    assert len(head) > 8192
+    found = python_scan.scan_python("a.py", source.encode())["declarations"][0]["signature"]
+    assert found == head.rstrip(":")
