@@ -36,8 +36,10 @@ def config_files(files: DataFrame) -> DataFrame:
 
 
 def build_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """Tables of files(file, content binary): classified files, the scan (written once, read by all others), declarations, refs, imports, raw and resolved edges, modules."""
-    classified = corpus.classify(files)
+    """Tables of files(file, content binary): classified files and the scan (each written once, read by all others), declarations, refs, imports, raw and resolved edges, modules."""
+    # scanning takes long for the bytes it reads, so that rows are spread by number, whatever the plan of files says
+    spread = 4 * files.sparkSession.sparkContext.defaultParallelism
+    classified = written(corpus.classify(files.repartition(spread, "file")), "files")
     scan = written(python_scan.scan(classified), "scan")
     names = ("path", "leaf", "kind", "s_line", "e_line", "s_byte", "e_byte", "col", "body_byte", "indent", "signature", "preview", "refs")
     parent = F.when(F.col("s.parent") >= 0, F.concat_ws("#", "file", "s.parent"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,18 +32,18 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*x, k) for k, x in enumerate(LANGUAGES)], "name string, type string, popular boolean, extensions array<string>, filenames array<string>, interpreters array<string>, aliases array<string>, rank int")
 
 
-def _constant(table: dict, type_: str) -> Column:
-    """A constant map, written as one text so that the plan holds a single literal once the optimizer has folded it."""
-    return F.from_json(F.lit(json.dumps(table)), type_)
-
-
-def _lookup(key: Column, at: int) -> Column:
-    """Names of the languages that list key, in rank order; the dimension is a constant map in the plan."""
+def _listed(at: int) -> dict[str, list[str]]:
+    """Names of the languages that list a key, in rank order, by the key in lower case."""
     table: dict[str, list[str]] = {}
     for x in LANGUAGES:
         for v in x[at]:
             table.setdefault(v.lower(), []).append(x[0])
-    return F.coalesce(F.try_element_at(_constant(table, "map<string, array<string>>"), F.lower(key)), F.array().cast("array<string>"))
+    return table
+
+
+_ENDINGS, _NAMES, _INTERPRETERS, _ALIASES = map(_listed, (3, 4, 5, 6))
+_KINDS = {"programming": 0, "markup": 1, "prose": 2, "data": 3}
+_RANK = {x[0]: (len(x[3]), _KINDS[x[1]], k) for k, x in enumerate(LANGUAGES)}
 
 
 def interpreter(text: Column) -> Column:
@@ -65,49 +64,51 @@ def modeline(text: Column) -> Column:
     return F.when(~ends.contains("UseVimball"), found)
 
 
-def _by_ending(file: Column) -> Column:
-    """Languages of the longest ending of a file's name that any has."""
-    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in (_lookup(F.regexp_extract(paths.basename(file), r"(\.[^.]+\.[^.]+)$", 1), 3), _lookup(paths.extension(file), 3))], F.array().cast("array<string>"))
-
-
-def _by_text(file: Column, text: Column) -> Column:
-    """The language that the beginning of a text decides on among those of its ending; none if nothing does."""
-    head, ending, out = F.substring(text, 1, HEURISTIC_CHARS), paths.extension(file), F.array().cast("array<string>")
+def _by_text(ending: Column, text: Column) -> Column:
+    """The language that the beginning of a text decides on among those of its ending; null if nothing does."""
+    head, out = F.substring(text, 1, HEURISTIC_CHARS), F.lit(None).cast("string")
     for endings, choices in reversed(language_data.HEURISTICS):
         own = F.coalesce(*[F.when(head.rlike(p) if p else F.lit(True), F.lit(name)) for name, p in choices])
-        out = F.when(ending.isin(*endings), F.filter(F.array(own), lambda x: x.isNotNull())).otherwise(out)
+        out = F.when(ending.isin(*endings), own).otherwise(out)
     return out
 
 
-def _best(candidates: Column, file: Column) -> Column:
+def _best(candidates: list[str], ending: str | None) -> str | None:
     """One of several languages: what its ending is known for, else the one with the fewest endings, programs before markup, prose and data, then the first in the list."""
-    order = {"programming": 0, "markup": 1, "prose": 2, "data": 3}
-    rank = _constant({x[0]: len(x[3]) * 1_000_000 + order[x[1]] * 10_000 + k for k, x in enumerate(LANGUAGES)}, "map<string, int>")
-    known = _constant(language_data.PREFERRED, "map<string, string>")
-    preferred = F.try_element_at(known, paths.extension(file))
-    least = F.array_min(F.transform(candidates, lambda x: F.struct(F.try_element_at(rank, x).alias("rank"), x.alias("name"))))["name"]
-    return F.when(F.size(candidates) == 0, None).when(F.array_contains(candidates, F.coalesce(preferred, F.lit(""))), preferred).otherwise(least)
+    preferred = language_data.PREFERRED.get(ending)
+    return preferred if preferred in candidates else min(candidates, key=_RANK.__getitem__, default=None)
 
 
-def language(file: Column, text: Column) -> Column:
-    """Language of a file: mode line, file name, first line, ending, XML head, manual page, then what tells languages of its ending apart. One candidate decides; several narrow down,
-    and of what is left the best known is taken. Null if nothing fits."""
-    none = F.array().cast("array<string>")
+def decide(alias: str | None, name: str | None, interpreter: str | None, double: str | None, ending: str | None, xml: bool | None, manpage: bool | None, by_text: str | None) -> str | None:
+    """The language of what language() finds in a file, by its strategies in their order: one candidate decides, several narrow down, and of what is left the best known is taken."""
+    low = lambda x: x.lower() if x is not None else None
     strategies = [
-        F.when(modeline(text).isNotNull(), _lookup(modeline(text), 6)).otherwise(none),
-        _lookup(paths.basename(file), 4),
-        F.when(text.startswith("#!"), _lookup(interpreter(text), 5)).otherwise(none),
-        _by_ending(file),
-        F.when(text.rlike(r"^[^\n]*\n?[^\n]*<\?xml version="), F.array(F.lit("XML"))).otherwise(none),
-        F.when(paths.basename(file).rlike(_MANPAGE), F.array(F.lit("Roff Manpage"), F.lit("Roff"))).otherwise(none),
-        _by_text(file, text),
-    ]
-
-    def narrowed(state: Column, s: Column) -> Column:
-        both = F.array_intersect(state, s)
-        return F.when((F.size(state) == 1) | (F.size(s) == 0), state).when(F.size(state) == 0, s).when(F.size(both) > 0, both).otherwise(state)
-
-    return _best(F.aggregate(F.array(*strategies), none, narrowed), file)
+        _ALIASES.get(low(alias)), _NAMES.get(low(name)), _INTERPRETERS.get(low(interpreter)), _ENDINGS.get(low(double)) or _ENDINGS.get(low(ending)),
+        ["XML"] if xml else None, ["Roff Manpage", "Roff"] if manpage else None, [by_text] if by_text is not None else None,
+    ]
+    state: list[str] = []
+    for s in strategies:
+        if not s or len(state) == 1:
+            continue
+        state = [x for x in dict.fromkeys(state) if x in s] or state if state else s
+    return _best(state, ending)
+
+
+def _decided(*columns: pd.Series) -> pd.Series:
+    return pd.Series([decide(*[None if x is None or x != x else x for x in row]) for row in zip(*columns, strict=True)], dtype=object)
+
+
+def language(file: Column, text: Column) -> Column:
+    """Language of a file: mode line, file name, first line, ending, XML head, manual page, then what tells languages of its ending apart. Null if nothing fits.
+
+    Expressions find each in the text, once; what they find is short, and a worker looks it up in the dimension.
+    """
+    name, ending = paths.basename(file), paths.extension(file)
+    found = [
+        modeline(text), name, F.when(text.startswith("#!"), interpreter(text)), F.regexp_extract(name, r"(\.[^.]+\.[^.]+)$", 1), ending,
+        text.rlike(r"^[^\n]*\n?[^\n]*<\?xml version="), name.rlike(_MANPAGE), _by_text(ending, text),
+    ]
+    return F.pandas_udf(_decided, "string")(*found)
 
 
 def classify(files: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ _MODULE = r'^(?:[ \t\r]*(?://[^\n]*)?\n)*[ \t]*module[ \t]+"?([^\s"]+)'
 def with_modules(rows: DataFrame, files: DataFrame) -> DataFrame:
     """rows(file, ...) with module: for Go, the import path of a file's folder under the nearest go.mod of files(file, content), or the folder's path without one; else null.
 
-    Folders above a file are few: an equi-join on each of them finds the go.mod, and the longest wins.
+    Folders above a file are few: an equi-join on each of them finds the go.mod, and the longest wins. Only Go files are joined: the others would all meet in one task.
     """
     mods = files.where((paths.basename(F.col("file")) == "go.mod") & F.col("content").isNotNull())
     roots = mods.select(paths.folder(F.col("file")).alias("root"), F.regexp_extract(F.decode("content", "UTF-8"), _MODULE, 1).alias("name")).where("name <> ''")
@@ -48,8 +48,9 @@ def with_modules(rows: DataFrame, files: DataFrame) -> DataFrame:
     best = folders.withColumn("root", F.explode(above)).join(roots, "root").groupBy("at").agg(F.max_by(F.struct("root", "name"), F.length("root")).alias("b"))
     rest = F.expr("substring(at, length(b.root) + 1)")
     named = best.select("at", F.concat(F.col("b.name"), F.when((rest == "") | rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))).alias("named"))
-    at = paths.folder(F.col("file"))
-    return rows.withColumn("at", F.when(F.col("language") == "Go", at)).join(named, "at", "left").withColumn("module", F.coalesce("named", "at")).drop("at", "named")
+    go = F.coalesce(F.col("language") == "Go", F.lit(False))
+    own = rows.where(go).withColumn("at", paths.folder(F.col("file"))).join(named, "at", "left").select(*rows.columns, F.coalesce("named", "at").alias("module"))
+    return rows.where(~go).withColumn("module", F.lit(None).cast("string")).union(own)
 
 
 def scan_go(file: str, source: bytes, module: str | None = None) -> dict[str, Any]:

@@ -203,3 +203,25 @@ def test_signature_of_a_long_head(spark):
     assert len(head) > 8192
     found = python_scan.scan_python("a.py", source.encode())["declarations"][0]["signature"]
     assert found == head.rstrip(":")
+
+
+def test_tables_are_built_from_written_files_in_many_tasks(spark):
+    from astrolith.plans import reports
+
+    rows = [(f"p/m{k}.py", bytearray(f"import p.m{k + 1}\n".encode())) for k in range(200)] + [("svc/go.mod", bytearray(b"module example.com/svc\n")), ("svc/a/x.go", bytearray(b"package a\n")), (None, bytearray(b"x"))]
+    tables = reports.build_tables(spark.createDataFrame(rows, "file string, content binary").coalesce(1))
+    # the text of a plan that looks languages up again has over a million signs
+    assert len(tables["files"]._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    assert len(tables["files"].inputFiles()) > 4 and len(tables["scan"].inputFiles()) > 1
+    assert {r.file: r.module for r in tables["scan"].where("file LIKE 'svc/%' OR file = 'p/m7.py'").collect()} == {"svc/a/x.go": "example.com/svc/a", "p/m7.py": "p.m7"}
+    assert tables["edges"].count() == 199
+
+
+def test_python_files_are_not_joined_for_their_module(spark):
+    from astrolith.sources import go_scan
+
+    rows = spark.createDataFrame([("a.py", "Python", b"x"), ("b/c.go", "Go", b"x"), ("n", None, b"x")], "file string, language string, content binary")
+    own = go_scan.with_modules(rows, rows)
+    assert sorted((r.file, r.module) for r in own.collect()) == [("a.py", None), ("b/c.go", "b"), ("n", None)]
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join")
