@@ -1,6 +1,7 @@
 """Import graphs as edges(src, dst): degrees, closure, chains, coupling, components.
 
-Closures grow by frontier joins to a fixpoint. Each round ends with a reliable checkpoint, so that a lost executor costs one round.
+Closures and strong components of graphs whose edges a task can hold are one job of kernels; larger ones grow by frontier joins to a fixpoint. Each round ends with a reliable
+checkpoint, so that a lost executor costs one round. Joins of rounds are merged and never broadcast: rounds are many, and the driver would gather a table in each.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..session import cut
+from . import reach as kernels
 
 THRESHOLDS = {"hotspots": (5, 15, 25), "fragile": (8, 15, 25), "deep_chains": (7, 12, 18), "cycles": (3, 5, 8)}
 
@@ -97,15 +99,30 @@ def coupling(edges: DataFrame, depth: int = 1) -> DataFrame:
 def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Distinct (src, dst) such that a path of one or more edges leads from src to dst; starts(src) keeps only those sources.
 
-    A node on a cycle reaches itself. Only pairs that the last round found are joined again, and each round writes no more than them.
+    A node on a cycle reaches itself. Blocks of sources are searched side by side, each over a copy of the edges, so that work follows the pairs found; over HELD_EDGES edges the pairs
+    that the last round found are joined again, and each round writes no more than them.
     """
     e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    n = e.count()
+    if n <= kernels.HELD_EDGES:
+        return kernels.closure(e, n, starts)
     new = e if starts is None else cut(e.join(starts.select("src").distinct(), "src", "left_semi"))
     out = new
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     while True:
-        found = new.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        new = cut(found.join(out, ["src", "dst"], "left_anti"))
+        found = new.join(step.hint("merge"), "dst").select("src", F.col("next").alias("dst")).distinct()
+        new = cut(found.join(out.hint("merge"), ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return out
+        out = out.union(new)
+
+
+def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(node) of targets(node) and of all nodes from which a path leads to one of them. One join a round, over the nodes that the last one found."""
+    back = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct())
+    out = new = cut(targets.select("node").distinct())
+    while True:
+        new = cut(new.join(back.hint("merge"), "node").select(F.col("next").alias("node")).distinct().join(out.hint("merge"), "node", "left_anti"))
         if new.isEmpty():
             return out
         out = out.union(new)
@@ -151,27 +168,33 @@ def longest_chains(edges: DataFrame) -> DataFrame:
     return group.join(best.withColumnRenamed("node", "component"), "component").select("node", "length")
 
 
-def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((node, component), edges between components): component is the least node of those that reach each other.
+def strong(e: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles of two or more, component being the least node of those that reach each other. e has distinct edges without nulls and loops.
 
-    Nodes that no cycle runs through are peeled off from both ends first, so that pairs of nodes are only formed within what is left.
+    While a task can't hold the edges, nodes that no cycle runs through are peeled off from both ends. If that ends with too many, pairs of nodes are formed within what is left.
     """
-    e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
     core, n = e, e.count()
-    while n:
-        left = cut(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    while n > kernels.HELD_EDGES:
+        left = cut(core.join(core.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi").select("src", "dst"))
         m = left.count()
-        core, n, done = left, m, m == n
-        if done:
-            break
+        if m == n:
+            reach = closure(core)
+            return reach.intersect(reverse(reach)).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+        core, n = left, m
+    return kernels.strong(core)
+
+
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, component), edges between components): component is the least node of those that reach each other."""
+    e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    if not n:
+    tied = cut(strong(e).withColumnRenamed("component", "m"))
+    if tied.isEmpty():
         return nodes.withColumn("component", F.col("node")), e
-    reach = closure(core)
-    least = reach.intersect(reverse(reach)).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    group = cut(nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component")))
-    name = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
-    return group, cut(e.join(name("src"), "src").join(name("dst"), "dst").where("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct())
+    group = cut(nodes.join(tied, "node", "left").select("node", F.coalesce("m", "node").alias("component")))
+    name = lambda x: tied.select(F.col("node").alias(x), F.col("m").alias(f"{x}_c"))
+    ends = e.join(name("src"), "src", "left").join(name("dst"), "dst", "left").select(F.coalesce("src_c", "src").alias("src"), F.coalesce("dst_c", "dst").alias("dst"))
+    return group, cut(ends.where("src <> dst").distinct())
 
 
 def deep_chains(edges: DataFrame, least: int = THRESHOLDS["deep_chains"][0], thresholds: dict[str, tuple[int, int, int]] = THRESHOLDS) -> DataFrame:
@@ -196,9 +219,9 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.union(reverse(edges)).distinct())
     label = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
-        near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(near, "node").select("node", "component", F.least("component", "near").alias("now"))
-        jump = step.join(label.select(F.col("node").alias("now"), F.col("component").alias("far")), "now", "left").select("node", "component", F.coalesce(F.least("far", "now"), F.col("now")).alias("now"))
+        near = both.join(label.withColumnRenamed("node", "dst").hint("merge"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        step = label.join(near.hint("merge"), "node").select("node", "component", F.least("component", "near").alias("now"))
+        jump = step.join(label.select(F.col("node").alias("now"), F.col("component").alias("far")).hint("merge"), "now", "left").select("node", "component", F.coalesce(F.least("far", "now"), F.col("now")).alias("now"))
         jump = cut(jump)
         same = jump.where("now <> component").isEmpty()
         label = jump.select("node", F.col("now").alias("component"))
@@ -212,17 +235,20 @@ def propagate(edges: DataFrame) -> DataFrame:
     out = new = cut(edges.select("src", "dst").distinct())
     inits = cut(inits)
     while True:
-        found = new.join(inits, "dst").where("src <> next").select("src", F.col("next").alias("dst")).distinct()
-        new = cut(found.join(out, ["src", "dst"], "left_anti"))
+        found = new.join(inits.hint("merge"), "dst").where("src <> next").select("src", F.col("next").alias("dst")).distinct()
+        new = cut(found.join(out.hint("merge"), ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return out
         out = cut(out.union(new))
 
 
-def on_cycles(reach: DataFrame) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
     """(node, size) of nodes that reach themselves, with the size of their strongly connected group."""
-    back = reverse(reach)
-    return reach.intersect(back).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size")).join(reach.where("src = dst").select(F.col("src").alias("node")), "node", "left_semi")
+    e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    tied = cut(strong(e.where("src <> dst")))
+    sizes = tied.groupBy("component").agg(F.count("*").alias("size"))
+    loops = e.where("src = dst").select(F.col("src").alias("node")).join(tied, "node", "left_anti").withColumn("size", F.lit(1).cast("bigint"))
+    return tied.join(sizes, "component").select("node", "size").union(loops)
 
 
 def summary(edges: DataFrame, nodes: DataFrame, chains: DataFrame | None = None) -> DataFrame:

@@ -245,7 +245,7 @@ def importer_counts(edges):
 
 @query(f"{_REACH}, s AS (SELECT a.src AS node, count(*) AS size FROM t AS a JOIN t AS b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT node, size FROM s WHERE node IN (SELECT src FROM t WHERE src = dst)")
 def on_cycles(edges):
-    return graph.on_cycles(graph.closure(edges))
+    return graph.on_cycles(edges)
 
 
 @query("WITH RECURSIVE p AS (SELECT src AS node, dst AS at, 1 AS length FROM v_dag UNION SELECT p.node, e.dst, p.length + 1 FROM p JOIN v_dag AS e ON p.at = e.src) SELECT node, CAST(max(length) AS INT) AS length FROM (SELECT node, length FROM p UNION ALL SELECT dst, 0 FROM v_dag) AS x GROUP BY node")
