@@ -154,7 +154,7 @@ def _acyclic_rounds(e: DataFrame, first: DataFrame, best: Column) -> DataFrame:
     """
     out = now = first
     while True:
-        now = cut(e.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), (F.col("r") + 1).alias("r")).agg(F.min(best).alias("b")))
+        now = cut(e.join(now.withColumnRenamed("node", "dst").hint("merge"), "dst").groupBy(F.col("src").alias("node"), (F.col("r") + 1).alias("r")).agg(F.min(best).alias("b")))
         if now.isEmpty():
             return out
         out = out.union(now)

@@ -64,3 +64,12 @@ def test_jobs_and_broadcasts_do_not_grow_with_depth(spark):
         assert len(tracker.getJobIdsForGroup("deep")) < 60
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rounds_of_chains_never_broadcast(spark, monkeypatch):
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    df = spark.createDataFrame([(k, k // 2) for k in range(1, 40)], "src bigint, dst bigint")
+    assert {x.node: x.length for x in graph.longest_chains(df).collect()} == {k: k.bit_length() for k in range(40)}
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) > 4 and all(p.count("Join") == p.count("strategy=merge") for p in joined)
