@@ -1,4 +1,4 @@
-"""Import simulation: which circular imports fail. State never leaves a weak component, so that components run side by side."""
+"""Import simulation: which circular imports fail. State never leaves a weak component of the files that lead to a cycle, so that components run side by side."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import graph
 
 CYCLE = "component string, chain array<string>, line int, name string, reason string"
@@ -67,16 +68,25 @@ def simulate(files: list[str], edges: dict[str, list[tuple[str, list[str], int]]
     return out
 
 
+def involved(edges: DataFrame) -> DataFrame:
+    """(file, component) of the files that lead to a cycle and of what they import, by weak components of these; the least file of a component names it.
+
+    Loading any other file ends before it meets one that waits, so that it tells nothing and one component that holds a whole project doesn't come into one task.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    leading = graph.reaching(e, graph.strong(e).select("node"))
+    return graph.components(e.join(leading.withColumnRenamed("node", "src"), "src", "left_semi")).withColumnRenamed("node", "file")
+
+
 def cycles(scan: DataFrame) -> DataFrame:
     """CYCLE rows of a scan table: the imports between its files that fail at run time."""
     files = scan.select("file")
     modules = graph.module_map(files)
     raw = scan.select("file", F.explode("edges").alias("e")).select("file", "e.*")
-    edges = graph.resolve_imports(raw, modules)
-    group = graph.components(edges)
+    group = involved(graph.resolve_imports(raw, modules))
     names = modules.groupBy("file").agg(F.collect_set("module").alias("modules"))
     live = F.filter("edges", lambda e: e["scope"] != "type_checking")
-    rows = scan.select("file", live.alias("edges"), "defs").join(names, "file", "left").join(group.withColumnRenamed("node", "file"), "file")
+    rows = scan.select("file", live.alias("edges"), "defs").join(names, "file", "left").join(group, "file")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("file")
@@ -86,4 +96,6 @@ def cycles(scan: DataFrame) -> DataFrame:
         found = simulate(list(frame["file"]), edges, defs, modules)
         return pd.DataFrame([(frame["component"].iloc[0], *x) for x in found], columns=["component", "chain", "line", "name", "reason"])
 
-    return rows.groupBy("component").applyInPandas(run, CYCLE)
+    # components are few bytes and long to run, so that they are spread by number
+    spread = 4 * scan.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(spread, "component").groupBy("component").applyInPandas(run, CYCLE)

@@ -225,3 +225,25 @@ def test_python_files_are_not_joined_for_their_module(spark):
     assert sorted((r.file, r.module) for r in own.collect()) == [("a.py", None), ("b/c.go", "b"), ("n", None)]
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < plan.index("Join")
+
+
+def test_only_files_that_lead_to_a_cycle_are_simulated(spark):
+    edges = spark.createDataFrame([("x", "y"), ("y", "x"), ("w", "x"), ("v", "w"), ("y", "a"), ("a", "b"), ("c", "b"), ("p", "q"), ("q", "p")], "src string, dst string")
+    assert {tuple(r) for r in simulate.involved(edges).collect()} == {(f, "a") for f in "avwxy"} | {("p", "p"), ("q", "p")}
+
+
+def test_cycles_of_random_trees_are_those_of_a_whole_load(spark):
+    import random
+
+    r = random.Random(4)
+    tree, n = {}, 40
+    for k in range(n):
+        body = ["import json", *[r.choice([f"from m{j} import x{j}", f"import m{j}", f"from m{j} import *"]) for j in r.sample(range(n), r.choice([0, 1, 2, 2]))], f"x{k} = 1"]
+        r.shuffle(body)
+        tree[f"m{k}.py"] = "\n".join(body) + "\n"
+    scan = scanned(spark, tree)
+    rows = sorted(scan.collect(), key=lambda x: x.file)
+    edges = {x.file: [(e.module, list(e.names), e.line) for e in sorted(x.edges, key=lambda e: e.ord)] for x in rows}
+    want = simulate.simulate([x.file for x in rows], edges, {x.file: dict(x.defs) for x in rows}, {f"m{k}": f"m{k}.py" for k in range(n)})
+    got = [(list(x.chain), x.line, x.name, x.reason) for x in simulate.cycles(scan).collect()]
+    assert want and sorted(got) == sorted((list(a), b, c, d) for a, b, c, d in want)
