@@ -69,7 +69,8 @@ def callers(refs: DataFrame, declarations: DataFrame, names: DataFrame | str) ->
     if isinstance(names, str):
         hits = refs.where(F.col("name") == names.rsplit(".", 1)[-1])
     else:
-        hits = refs.join(names.select(paths.leaf(F.col("name")).alias("name")).distinct(), "name", "left_semi")
+        # names that come as a table may be as many as the declarations: neither goes through the driver
+        hits, declarations = refs.join(names.select(paths.leaf(F.col("name")).alias("name")).distinct().hint("merge"), "name", "left_semi"), declarations.hint("merge")
     return hits.join(declarations, F.col("source_id") == F.col("id")).select("name", "id", "path", "file", F.col("line"), refs["kind"].alias("ref_kind"))
 
 

@@ -182,3 +182,13 @@ def test_layout(spark):
     assert got == ["--- a/f.py\n+++ b/f.py\n@@ -1,2 +1,2 @@\n a\n-b\n+c", ""]
     assert layout.unified("a\n", "b\n", most=2).endswith("... 3 more lines")
     assert [r.d for r in df.select(layout.normalised_udf("a").alias("d")).collect()] == ["a\nb\n", None]
+
+
+def test_distinct_views_have_partitions_by_rows(spark, monkeypatch):
+    from astrolith.plans import project
+
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, project.view(spark, data, "refs").collect()))
+    monkeypatch.setattr(project, "DISTINCT_ROWS", 500)
+    got = project.view(spark, data, "refs")
+    assert sorted(map(tuple, got.collect())) == want and got.rdd.getNumPartitions() > 10
